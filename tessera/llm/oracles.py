@@ -2,6 +2,55 @@
 
 from __future__ import annotations
 
+from tessera.llm.common import ASCII_UPPER
+from tessera.llm.url_filter import RULES, TRACKING, UNWANTED, rule_name
+
+#: ASCII white space in a class of a regular expression, and A-Z lower-cased.
+SPACE = "[\\x20\\x09-\\x0D]"
+
+
+def lowered(c: str) -> str:
+    return f"translate({c}, '{ASCII_UPPER}', '{ASCII_UPPER.lower()}')"
+
+
+def words_of(c: str) -> str:
+    return f"list_filter(string_split_regex(coalesce({c}, ''), '{SPACE}+'), lambda x: x <> '')"
+
+
+def op3() -> str:
+    fits = lambda r: f"(host = '{r[0]}' or ends_with(host, '.{r[0]}')) and starts_with(path, '{r[1]}')"
+    rules = sorted(RULES, key=lambda r: -len(rule_name(*r[:2])))
+    rule = "case " + " ".join(f"when {fits(r)} then '{rule_name(*r[:2])}'" for r in rules) + " end"
+    ruled = "case " + " ".join(f"when {fits(r)} then '{r[2]}'" for r in rules) + " end"
+    labels = ", ".join(f"'{x}'" for x in UNWANTED)
+    return f"""
+with parts as (
+  select page_id, {lowered("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') path,
+    array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract(url, '://[^?#]*\\?([^#]*)', 1), ''), '&'), lambda p: p <> '' and not regexp_matches(p, '{TRACKING}'))), '&') params
+  from pages),
+bare as (select *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)$', ''), '^www\\.', '') site from parts),
+named as (select *, case when site = '' then '' else site || regexp_replace(path, '/+$', '') || case when params <> '' then '?' || params else '' end end canonical from bare),
+listed as (select distinct canonical from named where canonical <> '' and list_has_any(string_split(host, '.'), [{labels}])),
+judged as (select n.*, {rule} rule, {ruled} ruled, l.canonical is not null listed from named n left join listed l using (canonical))
+select page_id, host, path, rule, coalesce(ruled, case when listed then 'block' else 'allow' end) verdict, listed from judged"""
+
+
+def op5() -> str:
+    return f"""
+with lines as (select d.row, d.doc_id, u.i, u.line, {lowered("trim(u.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} key
+  from (select row_number() over () as row, doc_id, coalesce(text, '') as body from documents) d, lateral (select unnest(string_split(d.body, chr(10))) line, generate_subscripts(string_split(d.body, chr(10)), 1) i) u),
+often as (select key, max(doc_id) keeper from lines where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+judged as (select l.*, coalesce(o.keeper <> l.doc_id, false) lost from lines l left join often o on l.key = o.key)
+select doc_id, count(*) n_lines, count(*) filter (where lost) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not lost), '')) kept_sha256
+from judged group by row, doc_id"""
+
+
+def op9() -> str:
+    shingles = lambda t, i: f"select {i}, unnest(list_distinct(case when len(w) between 1 and 4 then [w] else list_transform(range(1, len(w) - 3), lambda k: w[k:k + 4]) end)) s from (select {i}, {words_of(lowered('text'))} w from {t})"
+    return f"""
+with items as ({shingles("benchmark", "item_id")}), docs as ({shingles("documents", "doc_id")}), sizes as (select item_id, count(*) n from items group by 1)
+select doc_id, item_id, count(*) n_shared, any_value(n) n_shingles from items join docs using (s) join sizes using (item_id) group by 1, 2 having 100 * count(*) >= 80 * any_value(n)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": op3(), "op5_line_dedup": op5(), "op9_decontamination": op9()}
