@@ -25,6 +25,8 @@ THRESHOLD = -0.3
 #: Added to each bucket's count, as a share of the mean count, and the bound of a bucket's log ratio.
 SMOOTHING, BOUND = 0.05, 4.0
 WINDOW = 5
+#: Most trusted documents that the target multinomial is fitted on: those of the smallest hashes. Their ids are broadcast.
+TARGET_DOCS = 20_000
 
 
 def words_of(text: str | Column) -> Column:
@@ -76,8 +78,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """log(p_target / p_raw) of each bucket. trusted: doc_id of trusted documents, each once; raw: all of docs."""
-    grams = docs.join(trusted.select("doc_id", F.lit(1).alias("_trusted")), "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), word_hashes(words_of(F.col("text").cast("string"))).alias("wh"))
+    """log(p_target / p_raw) of each bucket. trusted: doc_id of trusted documents, each once; raw: all of docs.
+
+    The target is fitted on TARGET_DOCS of them at most, so that no text is shuffled to meet them; the raw corpus is all of it.
+    """
+    some = trusted.select("doc_id", F.lit(1).alias("_trusted")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
+    grams = docs.join(F.broadcast(some), "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), word_hashes(words_of(F.col("text").cast("string"))).alias("wh"))
     # explode_outer: for explode, the optimizer adds a filter that evaluates the whole array once more, inlined in its lambdas.
     counts = grams.select("t", F.explode_outer(gram_buckets("wh")).alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
