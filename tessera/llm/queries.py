@@ -16,6 +16,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.token_counts import length_histogram, token_lengths
+
+    return length_histogram(token_lengths(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.url_filter import judge_urls, listed_urls
 
@@ -23,12 +31,25 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_classifier import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.line_dedup import drop_repeated_lines
 
     return drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import judge, trusted_documents
 
