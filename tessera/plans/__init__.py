@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.plans import core, domain
+
 
 def all_queries() -> dict:
-    return {}
+    return core.queries() | domain.queries()
 
 
 def all_oracles() -> dict:
-    return {}
+    return core.oracles() | domain.oracles()
