@@ -42,10 +42,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     # Two seeds make 128 bits; sorted by them, a key's first line in the document is told from its others.
     hashed = F.sort_array(F.transform(long_keys, lambda x: F.struct(F.xxhash64(x.key).alias("h1"), F.xxhash64(F.lit(1), x.key).alias("h2"), x.pos.alias("pos"))))
     per_doc = tagged.where("doc_id is not null and char_length(text) >= " + str(min_chars)).select("doc_id", "_text_hash", hashed.alias("hs"))
-    lines = materialize(per_doc.select("doc_id", "_text_hash", F.posexplode_outer("hs").alias("i", "x"), F.get("hs", F.col("i") - 1).alias("before")).where("i is not null").select(
-        "doc_id", "_text_hash", "x.h1", "x.h2", "x.pos",
-        (F.col("before").isNotNull() & (F.col("before.h1") == F.col("x.h1")) & (F.col("before.h2") == F.col("x.h2"))).alias("again"),
-    ), "lines")
+    same = lambda x, y: F.coalesce((x.h1 == y.h1) & (x.h2 == y.h2), F.lit(False))
+    flagged = per_doc.select("doc_id", "_text_hash", F.transform("hs", lambda x, i: F.struct(x.h1.alias("h1"), x.h2.alias("h2"), x.pos.alias("pos"), same(x, F.get("hs", i - 1)).alias("again"))).alias("flagged"))
+    # inline_outer, as for inline the optimizer adds a filter that evaluates the array once more.
+    lines = materialize(flagged.select("doc_id", "_text_hash", F.inline_outer("flagged")).where("pos is not null"), "lines")
     frequent = lines.groupBy("h1", "h2").agg(F.sum(F.when(F.col("again"), 0).otherwise(1)).alias("n_docs"), F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
     frequent = materialize(frequent.where(F.col("n_docs") >= min_docs), "frequent")
     judged = skew_safe_lookup(lines.select("doc_id", "_text_hash", "h1", "h2", "pos"), frequent, ["h1", "h2"], ["keeper"], "n", F.col("doc_id"))
