@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from tessera.llm.common import small_batches
 
-#: Most chunks that a task keeps encoded.
-CACHE_CHUNKS = 600_000
+#: Chunks that a Python worker keeps encoded in each of two generations.
+CACHE_CHUNKS = 400_000
 #: White space as the split pattern understands it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -136,6 +137,7 @@ class TextEncoder:
         self.tokens = {i: t for t, i in self.words.vocab.items()} | {i: t for t, i in self.special.items()}
         self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.words.vocab.items()}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         """Normalised text between white space."""
@@ -157,9 +159,15 @@ class TextEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks that the cache lacks, by one walk over the trie of their distinct words."""
-        new = [c for c in chunks if c not in self.cache]
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache = {c: x for c in chunks if (x := self.cache.get(c)) is not None}
+        if len(self.cache) > CACHE_CHUNKS:
+            self.older, self.cache = self.cache, {}
+        new = []
+        for c in chunks:
+            if c not in self.cache:
+                if (known := self.older.get(c)) is None:
+                    new.append(c)
+                else:
+                    self.cache[c] = known
         split = [self.pattern.findall(c) for c in new]
         symbols = self.bytes
         as_symbols = {w: "".join([symbols[b] for b in w.encode()]) for w in {w for ws in split for w in ws}}
@@ -180,6 +188,12 @@ class TextEncoder:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> TextEncoder:
+    """One encoder a Python worker, so that tasks that follow each other share what it has learnt."""
+    return TextEncoder(path)
+
+
 def _extended(df: DataFrame, drop: str, *fields: StructField) -> StructType:
     return StructType([f for f in df.schema.fields if f.name not in {drop, *(x.name for x in fields)}] + list(fields))
 
@@ -191,7 +205,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     names = [f.name for f in schema.fields[:-2]]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(path)
+        encoder = encoder_of(path)
         for b in batches:
             ids = encoder.encode_batch(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*names, "n_tokens", "ids"])
@@ -205,7 +219,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     names = [f.name for f in schema.fields[:-1]]
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(path)
+        encoder = encoder_of(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([encoder.decode(x) for x in b.column("ids").to_pylist()], pa.string())], [*names, "decoded"])
 
