@@ -107,6 +107,16 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_wh")
 
 
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that judge() keeps, unchanged.
+
+    The row number keeps the optimizer from pushing the filter below the projections, where it would inline the whole chain of
+    expressions once for each use.
+    """
+    judged = judge(docs, trusted, threshold).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(docs.columns)
+
+
 def trusted_documents(labels: DataFrame) -> DataFrame:
     """doc_id of documents labelled good and not toxic, but for the fifth that is held out: crc32(doc_id as text) mod 5 = 0."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
