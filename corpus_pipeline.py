@@ -10,13 +10,13 @@ from tessera.llm.common import materialize
 from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.line_dedup import drop_repeated_lines
 from tessera.llm.ngram_jaccard import keep_one_of_each
-from tessera.llm.quality_rules import judge, trusted_documents
+from tessera.llm.quality_rules import keep_good, trusted_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the log-likelihood ratio reject go."""
     trusted = trusted_documents(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs, trusted).where("kept").select(docs.columns)
+    return keep_good(docs, trusted)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
