@@ -9,7 +9,7 @@ skew_safe_lookup(), so one line in a third of all documents doesn't gather in a
 A line's key: the line stripped of ASCII white space at both ends, A-Z lower-cased. Null or empty text: one empty line.
 Rows without a doc_id are not counted and keep all lines. Rows that repeat a doc_id count as documents of their own,
 so a line in three such rows is over a threshold of three, and stays in those rows that hold the largest doc_id.
-An empty table gives an empty table.
+An empty table gives an empty table. Other columns pass through, but n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations

@@ -265,7 +265,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     labels = components(edges)
     classes = classes.join(labels, classes.rep == labels.node, "left").select("s1", "s2", "copies", F.coalesce("component", "rep").alias("component"))
     out = skew_safe_lookup(sets.select("doc_id", "n_shingles", "s1", "s2"), classes, ["s1", "s2"], ["component"], "copies", F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

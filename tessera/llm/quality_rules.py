@@ -6,7 +6,8 @@ a document is kept when its base rules hold and its score reaches the threshold.
 counts grow with the input; the ratios are one number a bucket, so they reach the scan as a constant.
 
 Nulls and texts without words have no n-grams: n_words 0, base_failed, score 0. A null doc_id is never trusted; other
-columns are ignored. Without any trusted document all ratios are 0 and the base rules decide. Empty tables give empty tables.
+columns pass through, but those named like a result column, which are replaced. Without any trusted document all ratios are 0
+and the base rules decide. Rows that repeat count each. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SMOOTHING, BOUND = 0.05, 4.0
 WINDOW = 5
 #: Most trusted documents that the target multinomial is fitted on: those of the smallest hashes. Their ids are broadcast.
 TARGET_DOCS = 20_000
+RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
 
 
 def words_of(text: str | Column) -> Column:
@@ -104,17 +106,14 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     d = base_counts(docs)
     total = F.aggregate(gram_buckets("_wh"), F.lit(0.0), lambda a, b: a + F.get(ratios, b))
     d = d.withColumn("score", F.when(F.size("_wh") == 0, 0.0).otherwise(total / F.greatest(2 * F.size("_wh") - 1, F.lit(1))))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_wh")
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # Behind a generator, since filters on columns of projections are pushed down by inlining the whole chain, once for each use.
+    return d.select(*(c for c in docs.columns if c not in RESULT), F.inline_outer(F.array(F.struct(*RESULT))))
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that judge() keeps, unchanged.
-
-    The row number keeps the optimizer from pushing the filter below the projections, where it would inline the whole chain of
-    expressions once for each use.
-    """
-    judged = judge(docs, trusted, threshold).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(docs.columns)
+    """The rows of docs that judge() keeps, with the columns of docs."""
+    return judge(docs, trusted, threshold).where("kept").select(docs.columns)
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
