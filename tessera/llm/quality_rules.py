@@ -33,7 +33,7 @@ RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def words_of(text: str | Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5), " ", -1), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", -1), "")
 
 
 def word_hashes(words: str | Column) -> Column:
@@ -70,8 +70,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     n_words = F.size("_words").cast("long")
     out = d.withColumns({
         "n_words": n_words,
-        "word_chars": F.char_length(F.translate("_text", SPACES, "")).cast("long"),
-        "n_symbols": (F.char_length("_text") - F.char_length(F.translate("_text", "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.char_length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
     })
