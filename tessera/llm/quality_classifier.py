@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AdditiveM
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("label", "text")
     got = sorted((r.label, tuple(r.x)) for r in met.mapInArrow(feature_rows, "label double, x array<double>").collect())  # `rows` rows at most
-    return AdditiveModel().fit(np.array([x for _, x in got]).reshape(len(got), -1), np.array([y for y, _ in got]))
+    return AdditiveModel().fit(np.array([x for _, x in got]).reshape(len(got), len(NAMES)), np.array([y for y, _ in got]))
 
 
 def score_documents(docs: DataFrame, model: AdditiveModel, cutoff: float = CUTOFF) -> DataFrame:
