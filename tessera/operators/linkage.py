@@ -75,8 +75,11 @@ def smallest_labels(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> Dat
     labels = nodes.select("id", F.col("id").alias("component"))
     for _ in range(rounds):
         near = both.join(labels, both.dst == labels.id).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("new")).checkpoint()
+        step = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("step"))
+        # The label of the label: chains shorten by halves.
+        above = step.select(F.col("id").alias("step"), F.col("step").alias("above"))
+        new = step.join(above, "step", "left").select("id", "component", F.least("step", F.coalesce("above", "step")).alias("new")).checkpoint()
         labels = new.select("id", F.col("new").alias("component"))
         if new.where("new <> component").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")

@@ -54,7 +54,7 @@ SQL = {
         with detail as (select o_orderpriority as p, case when o_orderstatus = 'F' then 1 else 0 end as ok, 1 as n from {orders} union all select o_orderpriority, 0, 0 from {orders})
         select p, sum(n) as sent, sum(ok) as accepted, case when sum(n) = 0 then null else cast(sum(ok) as double) / sum(n) end as rate from detail group by p""",
     "pending_ageing": """
-        with m as (select max(cast(o_orderdate as date)) as today from {orders}), x as (select o_orderkey, datediff(today, cast(o_orderdate as date)) as age from {orders} cross join m where o_orderstatus <> 'F')
+        with x as (select o_orderkey, datediff((select max(cast(o_orderdate as date)) from {orders}), cast(o_orderdate as date)) as age from {orders} where o_orderstatus <> 'F')
         select case when age <= 30 then '0-30' when age <= 90 then '31-90' when age <= 180 then '91-180' when age <= 365 then '181-365' else '365+' end as bucket, count(*) as pending, min(age) as youngest, max(age) as oldest from x group by 1""",
     "hourly_throughput": """
         select cast(date_trunc('hour', ts) as string) as hour, event_type, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total from {events} group by 1, 2""",
@@ -79,7 +79,8 @@ SQL = {
         with o as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as rn, lag(event_type) over (partition by user_id order by ts, event_id) as before from {events})
         select case when rn = 1 then 'INCLUDED' when before = 'error' then 'REOPENED' when event_type = 'error' then 'EXCLUDED' else 'VERSIONED' end as outcome, count(*) as n, count(distinct user_id) as users from o group by 1""",
     "duplicate_alert": """
-        select a.event_id as event_id, min(b.event_id) as twin from {events} a join {events} b on a.user_id = b.user_id and a.event_type is not distinct from b.event_type and a.props is not distinct from b.props and b.event_id < a.event_id group by a.event_id""",
+        select e.event_id, g.twin from {events} e join (select user_id, event_type, props, min(event_id) as twin from {events} group by user_id, event_type, props) g
+        on e.user_id = g.user_id and e.event_type is not distinct from g.event_type and e.props is not distinct from g.props where g.twin < e.event_id""",
     "retification_conflict": """
         select a.l_orderkey, a.l_linenumber, concat_ws(',', case when a.l_returnflag <> b.l_returnflag then 'KIND' end, case when a.l_suppkey <> b.l_suppkey then 'PERSON' end, case when a.l_shipdate <> b.l_shipdate then 'START' end) as reasons
         from {lineitem} a join {lineitem} b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber + 1""",

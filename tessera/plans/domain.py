@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, identifiers, names
-from tessera.operators import calibration, linkage, rules, versioning
+from tessera.operators import calibration, identity, linkage, measures, rules, samplers, thresholds, versioning
 from tessera.plans.tables import table
 
 _MARKED, _BARE = names._latin_marks()
@@ -180,7 +180,89 @@ CONTACT = """with x as (select c_custkey, c_custkey % 3 = 0 plus, lpad(cast(c_cu
 select c_custkey, case when plus then case when length(d) between 8 and 15 then d end when length(d) in (10, 11) and not starts_with(d, '00') then '55' || d when length(d) in (12, 13) and starts_with(d, '55') then d when starts_with(d, '00') and length(d) - 2 between 8 and 15 then substr(d, 3) end phone,
   case when regexp_matches(m, '^[^@]+@[^@]+$') then lower(m) end email from x"""
 
+def deterministic_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 9 != 0, F.lpad((F.col("o_orderkey") * 7919 + F.col("o_custkey")).cast("string"), 11, "0")).alias("cpf"), F.when(F.col("o_orderkey") % 2 == 0, "SEM_CPF").alias("why"))
+    return k.select(identity.deterministic_route(F.col("cpf"), F.col("why")).alias("r")).groupBy("r.status", "r.method", "r.reason").agg(F.count("*").alias("n"), F.max("r.anchor").alias("last_anchor"))
+
+
+ROUTES = f"""with x as (select case when o_orderkey % 9 <> 0 then lpad(cast(o_orderkey * 7919 + o_custkey as varchar), 11, '0') end d, case when o_orderkey % 2 = 0 then 'SEM_CPF' end why from orders),
+y as (select d, why, coalesce(length(d) = 11 and d <> repeat(substr(d, 1, 1), 11) and {_DIGIT([*range(10, 1, -1)])} = cast(substr(d, 10, 1) as int) and {_DIGIT([*range(11, 1, -1)])} = cast(substr(d, 11, 1) as int), false) ok from x)
+select case when ok then 'RESOLVIDO' when d is null and why is not null then 'NAO_RESOLVIDO' else 'CONFLITO' end status, case when d is null then 'PENDENTE_PROBABILISTICO' else 'CPF_DETERMINISTICO' end as method,
+  case when ok then null when d is not null then 'CPF_ESTRUTURALMENTE_INVALIDO' when why is not null then 'AGUARDA_LINKAGE_SOB_DEMANDA' else 'CPF_AUSENTE_SEM_MOTIVO_ADMITIDO' end reason, count(*) n, max(case when ok then d end) last_anchor from y group by 1, 2, 3"""
+
+
+def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.when(k % 3 == 0, "RESOLVIDO").otherwise("NAO_RESOLVIDO").alias("status"), (k % 2 == 0).alias("target"), (k % 5).alias("n"), (k % 7 != 0).alias("done"), (k % 11 == 0).alias("kept"), (k % 13 == 0).alias("known"), (k % 17 != 0).alias("origin"), F.when(k % 19 == 0, k).alias("former"))
+    return o.groupBy(identity.publication(*(F.col(c) for c in o.columns)).alias("published")).agg(F.count("*").alias("n"))
+
+
+PUBLISHED = """select case when o_orderkey % 11 = 0 then 'INDEFINIDA' when o_orderkey % 13 = 0 or o_orderkey % 6 = 0 then 'ASSOCIACAO_EXISTENTE'
+  when o_orderkey % 3 <> 0 and o_orderkey % 5 = 0 and o_orderkey % 7 <> 0 and o_orderkey % 17 <> 0 and o_orderkey % 19 <> 0 then 'NOVA_IDENTIDADE' else 'INDEFINIDA' end published, count(*) n from orders group by 1"""
+
+THRESHOLDS, MARGINS = [0.0, 2.5, 5.0, 9.0], [0.0, 0.5, 2.0]
+
+
+def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    s = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("truth"), F.when(k % 11 != 0, F.when(k % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))).alias("best"), ((k % 100) / 10).alias("odds"), F.when(k % 5 != 0, (F.col("o_custkey") % 40) / 10).alias("margin"))
+    return thresholds.outcomes(s, THRESHOLDS, MARGINS)
+
+
+GRID = f"""with s as (select case when o_orderstatus <> 'P' then o_custkey end t, case when o_orderkey % 11 <> 0 then case when o_orderkey % 7 = 0 then o_custkey + 1 else o_custkey end end b, (o_orderkey % 100) / 10.0::double odds, case when o_orderkey % 5 <> 0 then (o_custkey % 40) / 10.0::double end gap from orders),
+g as (select unnest({THRESHOLDS}::double[]) threshold), h as (select unnest({MARGINS}::double[]) margin),
+j as (select threshold, margin, t, b, b is not null and odds >= threshold and (gap is null or gap >= margin) linked from s, g, h)
+select threshold, margin, count(*) filter (where linked and t = b) tp, count(*) filter (where linked and t is distinct from b) fp, count(*) filter (where t is not null and not (linked and t = b)) fn from j group by 1, 2"""
+
+
+def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), F.col("o_orderpriority").alias("manager"), F.col("o_orderdate").alias("at"), F.to_date("o_orderdate").cast("string").alias("block"))
+
+
+def matched_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samplers.matched_pairs(_order_rows(spark, sf_dir), "7", 500)
+
+
+MATCHED = """with l as (select o_custkey p, o_orderpriority m, o_orderkey id, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate desc, o_orderkey desc) n from orders),
+t as (select p, id, row_number() over (partition by p order by sha256('7:' || m), m) k from l where n = 1)
+select p person, max(case when k = 1 then id end) left_id, max(case when k = 2 then id end) right_id from t where k <= 2 group by p having count(*) = 2 order by sha256('7:' || cast(p as varchar)), p limit 500"""
+
+
+def unmatched_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samplers.unmatched_pairs(_order_rows(spark, sf_dir), "7", 500)
+
+
+UNMATCHED = """with n as (select cast(cast(o_orderdate as date) as varchar) block, o_orderkey left_id, o_custkey p, lead(o_orderkey) over w right_id, lead(o_custkey) over w q from orders window w as (partition by cast(o_orderdate as date) order by sha256('7:' || cast(o_orderkey as varchar)), o_orderkey))
+select block, left_id, right_id from n where right_id is not null and p <> q order by sha256('7:' || cast(left_id as varchar) || ':' || cast(right_id as varchar)), left_id, right_id limit 500"""
+
+AGREE = {"priority": "o_orderpriority < '3'", "status": "o_orderstatus = 'F'", "price": "o_totalprice > 100000"}
+
+
+def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "orders").select(*(F.expr(e).alias(n) for n, e in AGREE.items()), (F.col("o_custkey") % 3 == 0).alias("truth"))
+    found = thresholds.rule_search(pairs, list(AGREE), "truth", fields=2, passes=1)
+    return spark.createDataFrame([("+".join(r["rule"][0]), float(r["recall"]), int(r["kept"])) for r in found], "rule string, recall double, kept long").select("rule", F.round("recall", 8).alias("recall"), "kept")
+
+
+_SINGLE = [(n, AGREE[n]) for n in AGREE] + [(f"{a}+{b}", f"{AGREE[a]} and {AGREE[b]}") for i, a in enumerate(AGREE) for b in list(AGREE)[i + 1 :]]
+SEARCHED = " union all ".join(f"select '{n}' as rule, round(count(*) filter (where {e} and o_custkey % 3 = 0) / (count(*) filter (where o_custkey % 3 = 0))::double, 8) recall, count(*) filter (where {e}) kept from orders" for n, e in _SINGLE)
+
+
+def lateness_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = F.datediff("l_shipdate", "o_orderdate") - 60
+    d = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderpriority", late.cast("double").alias("dias_atraso"), F.when(late > 0, "EM_ATRASO").otherwise("NO_PRAZO").alias("status_atraso"))
+    out = measures.measured(d, "Atrasos", by=("o_orderpriority",))
+    return out.select(*(F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+_LATE = "date_diff('day', cast(o_orderdate as date), cast(l_shipdate as date)) - 60"
+LATENESS = f"""with d as (select o_orderpriority, ({_LATE})::double d from orders join lineitem on o_orderkey = l_orderkey)
+select o_orderpriority, count(*) "Registros Monitorados", nullif(count(*) filter (where d > 0), 0) "Registros em Atraso", round(nullif(count(*) filter (where d > 0), 0) / count(*)::double, 8) "% em Atraso", round(nullif(count(*) filter (where d <= 0), 0) / count(*)::double, 8) "% no Prazo",
+  round(avg(d) filter (where d > 0), 8) "Atraso Médio (dias)", max(d) "Atraso Máximo (dias)", round(quantile_cont(d, 0.95) filter (where d > 0), 8) "Atraso P95 (dias)" from d group by 1"""
+
 _QUERIES = {
+    "deterministic_routes": (deterministic_routes, ROUTES), "publications": (publications, PUBLISHED), "threshold_grid": (threshold_grid, GRID), "matched_sample": (matched_sample, MATCHED), "unmatched_sample": (unmatched_sample, UNMATCHED),
+    "rule_search": (rule_search, SEARCHED), "lateness_measures": (lateness_measures, LATENESS),
     "normalized_names": (normalized_names, NORMALIZED), "name_components": (name_components, COMPONENTS), "phonetic_codes": (phonetic_codes, None), "name_similarity": (name_similarity, None),
     "check_digits": (check_digits, CHECK_DIGITS), "birth_evidence": (birth_evidence_states, BIRTH), "blocking_census": (blocking_census, CENSUS), "linkage_scores": (linkage_scores, SCORES),
     "linkage_decisions": (linkage_decisions, DECISIONS), "split_buckets": (split_buckets, SPLIT), "m_u_rates": (m_u_rates, RATES), "compiled_rules": (compiled_rules, RULES_SQL),
