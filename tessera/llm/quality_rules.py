@@ -18,7 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES
+from tessera.llm.bloom import BlockedBloom
+from tessera.llm.common import SPACES, materialize
 
 BUCKETS = 1 << 15  # a power of two
 #: Least mean log-likelihood ratio of a kept document.
@@ -26,8 +27,6 @@ THRESHOLD = -0.3
 #: Added to each bucket's count, as a share of the mean count, and the bound of a bucket's log ratio.
 SMOOTHING, BOUND = 0.05, 4.0
 WINDOW = 5
-#: Most trusted documents that the target multinomial is fitted on: those of the smallest hashes. Their ids are broadcast.
-TARGET_DOCS = 20_000
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
 
 
@@ -80,14 +79,22 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """log(p_target / p_raw) of each bucket. trusted: doc_id of trusted documents, each once; raw: all of docs.
+    """log(p_target / p_raw) of each bucket. trusted: doc_id of trusted documents; target: all of them; raw: all of docs.
 
-    The target is fitted on TARGET_DOCS of them at most, so that no text is shuffled to meet them; the raw corpus is all of it.
+    Texts stay where they are but for a few: a Bloom filter of the trusted ids tells what may be trusted, and a second one of the ids that
+    the first lets through wrongly tells what surely is. Only documents that pass both meet the ids in an exact join.
     """
-    some = trusted.select("doc_id", F.lit(1).alias("_trusted")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
-    grams = docs.join(F.broadcast(some), "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), word_hashes(words_of(F.col("text").cast("string"))).alias("wh"))
+    ids = materialize(trusted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).where("doc_id is not null"), "trusted")
+    key = F.xxhash64("doc_id")
+    maybe = BlockedBloom.build(ids, key)
+    # A null id that passes is among the wrong ones.
+    wrong = materialize(maybe.possible(docs.select("doc_id"), key).join(ids, "doc_id", "left_anti").distinct(), "wrong")
+    tested = BlockedBloom.build(wrong, key).tested(maybe.tested(docs.select("doc_id", "text"), key, "_maybe"), key, "_unsure")
+    hashes = word_hashes(words_of(F.col("text").cast("string"))).alias("wh")
+    grams = tested.select(F.lit(1).alias("r"), F.expr("int(_maybe and not _unsure)").alias("t"), hashes)
+    grams = grams.union(tested.where("_maybe and _unsure").join(ids, "doc_id", "left_semi").select(F.lit(0), F.lit(1), hashes))
     # explode_outer: for explode, the optimizer adds a filter that evaluates the whole array once more, inlined in its lambdas.
-    counts = grams.select("t", F.explode_outer(gram_buckets("wh")).alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
+    counts = grams.select("r", "t", F.explode_outer(gram_buckets("wh")).alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.sum("r").alias("raw"), F.sum("t").alias("target"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in counts.collect():  # BUCKETS rows at most
         raw[r.bucket], target[r.bucket] = r.raw, r.target

@@ -1,5 +1,6 @@
 """Line dedup, quality rules, BPE, token counts, classifier, licences and decontamination on edge cases and against brute force."""
 
+import math
 import os
 import random
 import re
@@ -65,6 +66,25 @@ def test_quality_scores_tell_junk(spark):
     assert {r.doc_id for r in quality_rules.judge(df, trusted, max(score[i] for i in range(0, 200, 5)) + 1e-9).where("not kept").collect()} == set(range(0, 200, 5))
 
 
+@pytest.mark.parametrize("blocks", [1 << 18, 1])
+def test_quality_target_is_all_trusted_documents(spark, monkeypatch, blocks):
+    """Over 20,000 trusted documents count, each with a word of its own, whatever the Bloom filters let through."""
+    from tessera.llm import bloom
+
+    monkeypatch.setattr(bloom, "MAX_BLOCKS", blocks)
+    docs = spark.range(44_000).selectExpr("if(id = 1, null, id) doc_id", "concat('w', id) text")
+    trusted = spark.range(22_000).selectExpr("2 * id doc_id")
+    bucket = quality_rules.gram_buckets("wh").getItem(0).alias("b")
+    raw, target = [0] * quality_rules.BUCKETS, [0] * quality_rules.BUCKETS
+    for r in docs.select("doc_id", quality_rules.word_hashes(quality_rules.words_of("text")).alias("wh")).select("doc_id", bucket).collect():
+        raw[r.b] += 1
+        target[r.b] += r.doc_id is not None and r.doc_id % 2 == 0
+    assert (sum(raw), sum(target)) == (44_000, 22_000)
+    part = lambda x: [(v + quality_rules.SMOOTHING * sum(x) / len(x)) / (sum(x) * (1 + quality_rules.SMOOTHING)) for v in x]
+    want = [max(-quality_rules.BOUND, min(quality_rules.BOUND, math.log(t / r))) for t, r in zip(part(target), part(raw), strict=True)]
+    assert quality_rules.log_ratios(docs, trusted) == pytest.approx(want, abs=1e-6)
+
+
 def tokenizer_file(name):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     return public_tokenizers.path(name)
