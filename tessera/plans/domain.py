@@ -22,6 +22,14 @@ def normalized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 NORMALIZED = f"""select doc_id, nullif(regexp_replace(trim(replace(upper(translate(substr(string_split(text, chr(10))[1], 1, 200), '{_MARKED}', '{_BARE}')), 'ẞ', 'SS')), '\\s+', ' ', 'g'), '') as name from documents"""
 
 
+def normalized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole first lines, of which normalized_names and its SQL take 200 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", names.normalize_text(F.element_at(F.split("text", "\n", -1), 1)).alias("name"))
+
+
+WHOLE_LINES = f"""select doc_id, nullif(regexp_replace(trim(replace(upper(translate(string_split(text, chr(10))[1], '{_MARKED}', '{_BARE}')), 'ẞ', 'SS')), '\\s+', ' ', 'g'), '') as name from documents"""
+
+
 def name_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = names.normalize_text(F.col("p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", names.first_name(n).alias("first"), names.last_surname(n).alias("last"), F.size(names.content_tokens(n)).alias("n_tokens"))
@@ -263,7 +271,7 @@ select o_orderpriority, count(*) "Registros Monitorados", nullif(count(*) filter
 _QUERIES = {
     "deterministic_routes": (deterministic_routes, ROUTES), "publications": (publications, PUBLISHED), "threshold_grid": (threshold_grid, GRID), "matched_sample": (matched_sample, MATCHED), "unmatched_sample": (unmatched_sample, UNMATCHED),
     "rule_search": (rule_search, SEARCHED), "lateness_measures": (lateness_measures, LATENESS),
-    "normalized_names": (normalized_names, NORMALIZED), "name_components": (name_components, COMPONENTS), "phonetic_codes": (phonetic_codes, None), "name_similarity": (name_similarity, None),
+    "normalized_names": (normalized_names, NORMALIZED), "normalized_lines": (normalized_lines, WHOLE_LINES), "name_components": (name_components, COMPONENTS), "phonetic_codes": (phonetic_codes, None), "name_similarity": (name_similarity, None),
     "check_digits": (check_digits, CHECK_DIGITS), "birth_evidence": (birth_evidence_states, BIRTH), "blocking_census": (blocking_census, CENSUS), "linkage_scores": (linkage_scores, SCORES),
     "linkage_decisions": (linkage_decisions, DECISIONS), "split_buckets": (split_buckets, SPLIT), "m_u_rates": (m_u_rates, RATES), "compiled_rules": (compiled_rules, RULES_SQL),
     "folded_versions": (folded_versions, FOLDED), "link_quality": (link_quality, QUALITY), "contact_forms": (contact_forms, CONTACT),

@@ -1,6 +1,7 @@
 """Every query of the library against its SQL on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -38,3 +39,14 @@ def test_query(spark, duck, name):
     columns = sorted(got.columns)
     at = [want.columns.index(c) for c in columns]
     assert sorted(tuple(shown(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(shown(r[i]) for i in at) for r in want.fetchall())
+
+
+def test_normalized_lines_are_whole(spark):
+    """Against the first lines in plain Python, of which some are longer than 200 characters."""
+    from tessera.functions.names import _latin_marks
+
+    bare = str.maketrans(*_latin_marks())
+    lines = {r.doc_id: (r.text or "").split("\n")[0] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = {d: re.sub(r"[ \t\n\x0b\f\r]+", " ", x.translate(bare).upper().strip(" ")) or None for d, x in lines.items()}
+    assert max(len(x or "") for x in want.values()) > 200
+    assert {r.doc_id: r.name for r in all_queries()["normalized_lines"](spark, SF).collect()} == want
