@@ -1,11 +1,16 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Test items are short and documents may be long, where the Jaccard similarity of an item and a whole document says nothing. So
-items are partitioned by size, and for a partition of items of up to S shingles a document is cut into overlapping windows
-of 2 S shingles: an item of the partition that stands in the document fills at least about a third of some window, and one of
-PERMUTATIONS MinHash values then agrees but for a chance of under 1e-12. The minima of small blocks are computed once
-and combined to the windows of each partition. Each candidate is verified by the exact containment of its shingles in those
-of the whole document. Documents are judged where they stand: no shuffle, and no group of documents can get hot.
+items are partitioned by size. Those of up to BASE shingles are looked up exactly: a document that holds need of an item's s
+shingles holds one of any s - need + 1 of them, so that many of each item go to an index in which all shingles of a document
+are looked up. For a partition of larger items, of up to S shingles, a document is cut into overlapping windows of 2 S shingles.
+An item of more than S/2 that stands whole in the document fills over a quarter of a window, and none of PERMUTATIONS
+MinHash values agrees with a chance of about 1e-8; with only 80 % of its shingles there, in one passage, it may be down to
+0.19 of the union, and the chance is about 1.3e-6 (for S/2 + 1 shingles, the worst size; for S under 1e-12). Shingles that
+lie scattered over a document in different windows are missed more often.
+The minima of small blocks are computed once and combined to the windows of each partition. Each candidate is verified by
+the exact containment of its shingles in those of the whole document. Documents are judged where they stand: no shuffle, and
+no group of documents can get hot.
 
 The items of BLOCK_ITEMS at a time go to the tasks as an index, so its size is bounded; more items take more passes.
 
@@ -28,7 +33,7 @@ from tessera.llm.shingles import U, WordHashes, mix, windows, words
 
 N, PERCENT = 5, 80
 PERMUTATIONS = 64
-#: Shingles of the smallest block; item sizes are partitioned by BASE times powers of two.
+#: Shingles of the smallest block; items of up to so many are looked up exactly, the sizes of others are partitioned by BASE times powers of two.
 BASE = 16
 BLOCK_ITEMS = 20_000
 MULTIPLIERS = mix(np.arange(1, PERMUTATIONS + 1, dtype=U), 21) | U(1)
@@ -47,8 +52,19 @@ class ItemIndex:
         bits = max(16, int(np.ceil(np.log2(16 * len(self.sets) + 1))))
         self.mask = U((1 << bits) - 1)
         by_level: dict[int, list[int]] = {}
+        short: list[int] = []
         for i, s in enumerate(self.sets):
-            by_level.setdefault(max(0, int(np.ceil(np.log2(len(s) / BASE)))), []).append(i)
+            if len(s) <= BASE:
+                short.append(i)
+            else:
+                by_level.setdefault(int(np.ceil(np.log2(len(s) / BASE))), []).append(i)
+        #: Shingles of short items in order, of each item as many as it can't do without, and the items.
+        sought = [self.sets[i][: len(self.sets[i]) - self.need[i] + 1] for i in short]
+        self.short, order = np.concatenate([np.zeros(0, U), *sought]), np.repeat(np.array(short, np.int64), [len(x) for x in sought])
+        at = np.argsort(self.short, kind="stable")
+        self.short, self.short_items = self.short[at], order[at]
+        self.short_map = np.zeros(1 << bits, bool)
+        self.short_map[self.short & self.mask] = True
         #: level -> (items, for each permutation: sorted minima and the items in their order), and a bitmap of low bits.
         self.levels = {}
         self.maps = {}
@@ -67,6 +83,12 @@ class ItemIndex:
         if not len(shingles) or not self.sets:
             return found
         begin = np.cumsum(sizes) - sizes
+        hit = np.flatnonzero(self.short_map[shingles & self.mask]) if len(self.short) else np.zeros(0, np.int64)
+        lo, hi = np.searchsorted(self.short, shingles[hit], "left"), np.searchsorted(self.short, shingles[hit], "right")
+        for d, a, b in zip(np.searchsorted(begin + sizes, hit, "right").tolist(), lo.tolist(), hi.tolist(), strict=True):
+            found.update((d, int(x)) for x in self.short_items[a:b])
+        if not self.levels:
+            return found
         blocks = -(-sizes // BASE)
         doc = np.repeat(np.arange(len(sizes)), blocks)
         within = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -79,7 +101,7 @@ class ItemIndex:
         for k in range(PERMUTATIONS):
             least = np.minimum.reduceat(shingles * MULTIPLIERS[k], starts)
             for level, head, owner, goes_on in plans:
-                m = np.minimum.reduceat(least, head) if level else least
+                m = np.minimum.reduceat(least, head)
                 window = np.where(goes_on, np.minimum(m, np.append(m[1:], m[-1:])), m)
                 hit = np.flatnonzero(self.maps[level][k][window & self.mask])
                 if not len(hit):

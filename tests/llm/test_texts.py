@@ -174,6 +174,20 @@ def test_decontamination(spark, edges, nothing):
     assert decontaminate.contained_items(nothing, bench).count() == 0 and decontaminate.contained_items(df, bench.where("false")).count() == 0
 
 
+def test_short_items_are_never_missed(spark):
+    """Each of 1,600 items of 1 to 16 shingles stands in a long document of its own, some with a shingle in five missing."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    items = [[word() for _ in range(5 + i % 16)] for i in range(1600)]
+    docs = []
+    for i, item in enumerate(items):
+        body = [word() for _ in range(400)]
+        at = rng.randrange(400)
+        docs.append((i, " ".join(body[:at] + (item[:-1] if i % 16 >= 4 and i % 3 == 0 else item) + body[at:])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(df, bench).collect()} == {(i, i) for i in range(1600)}
+
+
 def test_pipeline_against_brute_force(spark):
     """From the documents that the quality rules keep on, every stage by brute force."""
     import corpus_pipeline
