@@ -39,6 +39,8 @@ from tessera.llm.shingles import U, WordHashes, mix, shingle_set
 
 #: Ratio of the bounds of size regions.
 RATIO = 1.5
+#: More than the size regions that a set can be in.
+REGIONS = 64
 #: Most documents and shingles of a block of a region.
 BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 3_000_000
 #: Recursion ends at so many documents; pivots of a step of the recursion.
@@ -79,9 +81,10 @@ def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(s)
     own = int(np.searchsorted(BOUNDS, n, "right")) - 1
     out, codes = [], []
-    for c in (own, own + 1):
+    last = int(np.searchsorted(BOUNDS, 100 * n // percent, "right")) - 1
+    for c in range(own, last + 1):
         differing = most_differing(int(BOUNDS[c + 1]) - 1, percent)
-        if differing == 0 or c > own and 100 * n < percent * BOUNDS[c]:
+        if differing == 0:
             continue
         spare = spare_parts(c, differing, percent)
         m = differing + 1 + spare
@@ -95,7 +98,7 @@ def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         if empty > spare:
             key = np.r_[key, mix(np.setdiff1d(np.arange(m, dtype=U), at[starts], assume_unique=True) * U(64) + U(c), 14)]
         out.append(mix(key, 15))
-        codes.append(np.full(len(key), 2 * max(0, spare - empty) + (c > own), np.int32))
+        codes.append(np.full(len(key), REGIONS * max(0, spare - empty) + c - own, np.int32))
     return (np.concatenate(out), np.concatenate(codes)) if out else (np.zeros(0, U), np.zeros(0, np.int32))
 
 
@@ -238,8 +241,10 @@ def region_links(n: int, percent: int):
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id long, text string).
 
-    Two documents link when 100 |x & y| >= percent |x | y| for their sets of n-word shingles.
+    Two documents link when 100 |x & y| >= percent |x | y| for their sets of n-word shingles; percent is 1 to 100.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent {percent} is not in 1 to 100")
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -252,7 +257,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     bloom = BlockedBloom.build(cells.select("key"), F.xxhash64("key"))
     met = skew_safe_lookup(bloom.possible(keyed, F.xxhash64("key")), cells, ["key"], ["pivot", "n"], "n", F.col("rep")).where("pivot is not null")
     crowded = F.row_number().over(Window.partitionBy("rep", "code").orderBy(F.desc("n"), "key"))
-    pairs = met.withColumn("crowded", crowded).where("crowded > shiftright(code, 1)").select("pivot", "rep").distinct()
+    pairs = met.withColumn("crowded", crowded).where("crowded > code div " + str(REGIONS)).select("pivot", "rep").distinct()
     members = materialize(pairs.join(reps, "rep").select("pivot", "rep", "size"), "members")
     regions = members.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles")).where("docs > 1")
     regions = regions.select("pivot", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))

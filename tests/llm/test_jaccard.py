@@ -85,3 +85,18 @@ def test_hash_cache_is_bounded(monkeypatch):
     c = WordHashes()
     c.of([str(i).encode() for i in range(100)])
     assert len(c) <= 10
+
+
+@pytest.mark.parametrize("percent", [20, 50, 66])
+def test_links_over_several_size_regions(spark, percent):
+    """Pairs of a set and a part of it, down to the smallest part that links."""
+    rows = []
+    for size in (5, 19, 38, 75, 240):
+        whole = [f"s{size}w{i}" for i in range(size)]
+        for part in (-(-percent * size // 100), -(-percent * size // 100) - 1):
+            own = [f"{w}p{part}" for w in whole]
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(own[:part]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 1, percent)
+    assert any(d != c for d, _, c in want)
+    assert shown(jaccard_components(df, 1, percent)) == want
