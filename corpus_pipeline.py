@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import encode_documents
+from tessera.llm.bpe import decode_documents, encode_documents
 from tessera.llm.common import materialize
 from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.line_dedup import drop_repeated_lines
@@ -35,13 +35,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document that is left."""
+    """The token ids of each document that is left, and the digest of the text that they decode to."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "lang", "source", "n_tokens", "ids")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = decode_documents(encode_documents(docs, path), path)
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_dedup), ("benchmark decontamination", decontamination), ("BPE encoding", bpe)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_dedup), ("benchmark decontamination", decontamination), ("BPE encoding and decoding", bpe)]
 
 #: Tokenizer and component stages are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None

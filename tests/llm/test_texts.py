@@ -1,11 +1,13 @@
 """Line dedup, quality rules, BPE, token counts, classifier, licences and decontamination on edge cases and against brute force."""
 
+import hashlib
 import math
 import os
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, license_scan, line_dedup, quality_classifier, quality_rules, token_counts
 
@@ -188,6 +190,19 @@ def test_short_items_are_never_missed(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(df, bench).collect()} == {(i, i) for i in range(1600)}
 
 
+def test_pipeline_decodes(spark, edges):
+    """The last stage decodes its ids as the library does."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    out = corpus_pipeline.STAGES[-1][1](spark, edges.withColumn("source", F.lit("web")), "").collect()
+    assert len(out) == edges.count() and len({r.ids for r in out}) > 5
+    for r in out:
+        ids = [int.from_bytes(r.ids[i : i + 4], "little") for i in range(0, len(r.ids), 4)]
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_pipeline_against_brute_force(spark):
     """From the documents that the quality rules keep on, every stage by brute force."""
     import corpus_pipeline
