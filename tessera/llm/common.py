@@ -20,9 +20,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """The shared folder for scratch tables: spark.checkpoint.dir. Where it is unset, a temporary folder on a local master, and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = os.path.join(tempfile.gettempdir(), "tessera-scratch")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -7,8 +7,8 @@ once, to meet the positions that they lose. The count combines before its shuffl
 skew_safe_lookup(), so one line in a third of all documents doesn't gather in a task.
 
 A line's key: the line stripped of ASCII white space at both ends, A-Z lower-cased. Null or empty text: one empty line.
-Rows without a doc_id are not counted and keep all lines. Rows that repeat a doc_id count as documents of their own,
-so a line in three such rows is over a threshold of three, and stays in those rows that hold the largest doc_id.
+Rows without a doc_id are not counted and keep all lines. Rows that repeat a doc_id count as one document, and a line
+stays in all rows of the largest doc_id that hold it.
 An empty table gives an empty table. Other columns pass through, but n_lines and n_dropped, which are replaced.
 """
 
@@ -39,14 +39,14 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     tagged = docs.withColumn("_text_hash", F.xxhash64("text"))
     keys = F.transform(lines_of("text"), lambda line, i: F.struct(line_key(line).alias("key"), i.alias("pos")))
     long_keys = F.filter(keys, lambda x: F.char_length(x.key) >= min_chars)
-    # Two seeds make 128 bits; sorted by them, a key's first line in the document is told from its others.
-    hashed = F.sort_array(F.transform(long_keys, lambda x: F.struct(F.xxhash64(x.key).alias("h1"), F.xxhash64(F.lit(1), x.key).alias("h2"), x.pos.alias("pos"))))
+    # Two seeds make 128 bits.
+    hashed = F.transform(long_keys, lambda x: F.struct(F.xxhash64(x.key).alias("h1"), F.xxhash64(F.lit(1), x.key).alias("h2"), x.pos.alias("pos")))
     per_doc = tagged.where("doc_id is not null and char_length(text) >= " + str(min_chars)).select("doc_id", "_text_hash", hashed.alias("hs"))
-    same = lambda x, y: F.coalesce((x.h1 == y.h1) & (x.h2 == y.h2), F.lit(False))
-    flagged = per_doc.select("doc_id", "_text_hash", F.transform("hs", lambda x, i: F.struct(x.h1.alias("h1"), x.h2.alias("h2"), x.pos.alias("pos"), same(x, F.get("hs", i - 1)).alias("again"))).alias("flagged"))
     # inline_outer, as for inline the optimizer adds a filter that evaluates the array once more.
-    lines = materialize(flagged.select("doc_id", "_text_hash", F.inline_outer("flagged")).where("pos is not null"), "lines")
-    frequent = lines.groupBy("h1", "h2").agg(F.sum(F.when(F.col("again"), 0).otherwise(1)).alias("n_docs"), F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    lines = materialize(per_doc.select("doc_id", "_text_hash", F.inline_outer("hs")).where("pos is not null"), "lines")
+    # First by document, so that a line in a third of all documents is spread over all tasks; what each leaves combines to a row a task.
+    holders = lines.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"))
+    frequent = holders.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.max("doc_id").alias("keeper"))
     frequent = materialize(frequent.where(F.col("n_docs") >= min_docs), "frequent")
     judged = skew_safe_lookup(lines.select("doc_id", "_text_hash", "h1", "h2", "pos"), frequent, ["h1", "h2"], ["keeper"], "n", F.col("doc_id"))
     losses = judged.where("keeper <> doc_id").groupBy("doc_id", "_text_hash").agg(F.collect_set("pos").alias("_lost"))

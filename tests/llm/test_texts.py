@@ -28,10 +28,33 @@ def test_line_dedup(edges, nothing):
     assert (by[9].n_lines, by[9].n_dropped, by[9].text) == (2, 1, "x")
     assert (by[10].n_lines, by[10].n_dropped) == (2, 0)
     assert (by[1].n_lines, by[1].n_dropped, by[1].text) == (1, 0, "")
-    assert by[None].n_dropped == 0 and by[7].n_dropped == 0 and by[6].n_dropped == 1
+    assert by[None].n_dropped == 0 and by[7].n_dropped == 0 and by[6].n_dropped == 0
     assert line_dedup.drop_repeated_lines(nothing).count() == 0
 
 
+def test_line_dedup_counts_documents_and_not_rows(spark):
+    """Two rows of document 5 and one of document 7 are two documents; a third one makes the line frequent."""
+    line = "a line that is long enough to count"
+    rows = [(5, line), (5, f"{line}\nx"), (7, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.drop_repeated_lines(df).collect()} == {0}
+    more = df.union(spark.createDataFrame([(6, line), (7, f"{line}\ny\n {line.upper()}")], df.schema))
+    got = sorted((r.doc_id, r.n_dropped, r.text) for r in line_dedup.drop_repeated_lines(more).collect())
+    assert got == [(5, 1, ""), (5, 1, "x"), (6, 1, ""), (7, 0, line), (7, 0, f"{line}\ny\n {line.upper()}")]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from tessera.llm.common import scratch_dir
+
+    class Session:
+        def __init__(self, conf):
+            self.conf = conf
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session({"spark.master": "spark://host:7077"}))
+    assert scratch_dir(Session({"spark.master": "spark://host:7077", "spark.checkpoint.dir": "s3://b/x/"})) == "s3://b/x"
+
+
 def counted(text):
     w = WORD.findall(text)
     wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
