@@ -9,7 +9,12 @@ compressed length in the "sl" extra field, so that such a reader jumps to the ne
 Writing makes one file a task and a manifest at commit; where there is a manifest, readers take only the files in it, so what
 a lost or repeated task has left behind is never read.
 
-Options: path; payload ("true"): decode payloads; verify ("false"): check each decoded payload against its digest.
+Options: path; payload ("true"): decode payloads; verify ("false"): check each decoded payload against its digest, where the
+record has a SHA-1 one; malformed ("fail"): what a record of type application/http without the end of an HTTP head does: "fail"
+raises, "null" leaves its payload and its length null; split_plain ("false"): read uncompressed archives in ranges too.
+Uncompressed archives hold nothing that tells a record from a payload that is an archive itself, so they are read by a task each unless
+split_plain says that payloads are none. HTTP heads may have any length and end lines with LF alone; chunked bodies are
+joined, so payload_bytes is null for them where payloads are not asked for.
 Paths may be in any store that pyarrow opens. Nulls: a null payload is written as empty, a null URI as no header.
 An archive without records gives an empty table.
 """
@@ -19,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +33,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
@@ -39,6 +45,9 @@ SPLIT, PEEK, BATCH = 128 << 20, 16 << 10, 8 << 20
 SCHEMA = "file string, offset long, record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, content_length long, payload_bytes long, payload binary"
 HEADERS = {"warc-type": "record_type", "warc-record-id": "record_id", "warc-target-uri": "target_uri", "warc-date": "warc_date", "warc-refers-to": "refers_to", "warc-payload-digest": "payload_digest"}
 MAGIC = b"\x1f\x8b\x08"
+HTTP_END = re.compile(rb"\r?\n\r?\n")
+#: The head of a record in an uncompressed archive, behind the end of the one before.
+PLAIN_HEAD = re.compile(rb"\r\n\r\n(?=WARC/\d\.\d\r\n)")
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -52,17 +61,30 @@ def digest_of(payload: bytes) -> str:
 
 
 def member(record: bytes) -> bytes:
-    """A gzip member of the record, with its compressed length in the extra field."""
+    """A gzip member of the record, with its compressed length in the extra field where 32 bits hold it."""
     z = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = z.compress(record) + z.flush()
-    head = MAGIC + b"\x04" + bytes(6)
-    size = len(head) + 2 + 12 + len(body) + 8
-    return head + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(record) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
-
-
-def record_bytes(kind: str, record_id: str, uri: str | None, date: str, refers_to: str | None, digest: str, payload: bytes) -> bytes:
-    """A response with an HTTP head and the payload; a revisit keeps the HTTP head alone, whose Content-Length tells the payload's."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    size = 10 + 2 + 12 + len(body) + 8
+    fits = max(size, len(record)) < 1 << 32
+    extra = struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size, len(record)) if fits else b""
+    return MAGIC + (b"\x04" if fits else b"\x00") + bytes(6) + extra + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+
+
+def unchunked(body: bytes) -> bytes:
+    """The data of a chunked body, as far as its chunks are whole; a body that isn't chunked after all stays as it is."""
+    out, at = [], 0
+    while m := re.compile(rb"\s*([0-9A-Fa-f]+)[^\r\n]*\r?\n").match(body, at):
+        n = int(m[1], 16)
+        out.append(body[m.end() : m.end() + n])
+        at = m.end() + n
+        if not n:
+            break
+    return b"".join(out) if at else body
+
+
+def record_bytes(kind: str, record_id: str, uri: str | None, date: str, refers_to: str | None, digest: str, payload: bytes, size: int | None = None) -> bytes:
+    """A response with an HTTP head and the payload; a revisit keeps the HTTP head alone, whose Content-Length tells the payload's: size, or that of payload."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}"]
     if uri is not None:
@@ -146,11 +168,18 @@ class Inflating:
         return self.f.tell() - len(self.z.unused_data)
 
 
+def f_is_gzip(f: pa.NativeFile) -> bool:
+    f.seek(0)
+    return f.read(3) == MAGIC
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.decode = options.get("payload", "true").lower() == "true"
         self.verify = options.get("verify", "false").lower() == "true"
+        self.split_plain = options.get("split_plain", "false").lower() == "true"
+        self.malformed = options.get("malformed", "fail").lower()
         self.accepted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -174,12 +203,20 @@ class WarcReader(DataSourceReader):
                 files = [x for x in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if x.type == pafs.FileType.File and x.base_name.endswith((".warc", ".warc.gz"))]
         out = []
         for x in files:
-            step = SPLIT if x.path.endswith(".gz") else max(SPLIT, x.size)
+            step = SPLIT if x.path.endswith(".gz") or self.split_plain else max(SPLIT, x.size)
             out += [Range(x.path, at, min(at + step, x.size)) for at in range(0, x.size, step)]
         return out or [Range("", 0, 0)]
 
     def first_record(self, f: pa.NativeFile, start: int, size: int) -> int:
-        """The first gzip member from start on that holds a record."""
+        """The first gzip member, or head of a plain record, from start on that holds a record."""
+        if not f_is_gzip(f):
+            at = max(0, start - 4)
+            while at < size:
+                f.seek(at)
+                if m := PLAIN_HEAD.search(f.read((1 << 20) + 64)):
+                    return at + m.end()
+                at += 1 << 20
+            return size
         at = start
         while at < size:
             f.seek(at)
@@ -226,23 +263,36 @@ class WarcReader(DataSourceReader):
         length = int(fields.get("content-length", 0))
         total = end + 4 + length
         got = {column: fields[h].removeprefix("<").removesuffix(">") for h, column in HEADERS.items() if h in fields}
+        algorithm = ""
         if "payload_digest" in got:
-            got["payload_digest"] = got["payload_digest"].rpartition(":")[2]
+            algorithm, _, got["payload_digest"] = got["payload_digest"].rpartition(":")
         if any(got.get(column) not in values for column, values in self.accepted):
             return None, m.next_offset(total + 4)
         payload, payload_bytes = None, length
-        begin = end + 4
+        begin, whole, chunked = end + 4, True, False
+        revisit = got.get("record_type") == "revisit"
         if fields.get("content-type", "").startswith("application/http"):
-            m.more(min(total, begin + PEEK))
-            http_end = m.out.find(b"\r\n\r\n", begin)
-            http = header_fields(m.out[begin:http_end])
-            begin = http_end + 4
-            revisit = got.get("record_type") == "revisit"
-            payload_bytes = int(http.get("content-length", total - begin)) if revisit else total - begin
-        if self.decode and got.get("record_type") != "revisit":
+            while not (http_end := HTTP_END.search(m.out, begin, total)) and len(m.out) < total:
+                have = len(m.out)
+                m.more(min(total, 2 * have + PEEK))
+                if len(m.out) == have:
+                    break
+            if not http_end and self.malformed != "null" and not revisit:
+                raise ValueError(f"the HTTP head at {path}:{at} never ends")
+            whole = bool(http_end)
+            http = header_fields(m.out[begin : http_end.start() if http_end else total].replace(b"\r\n", b"\n").replace(b"\n", b"\r\n"))
+            begin = http_end.end() if http_end else total
+            chunked = "chunked" in http.get("transfer-encoding", "").lower()
+            told = http.get("content-length", "")
+            payload_bytes = int(told) if revisit and told.isdigit() else None if chunked or not whole else total - begin
+        if self.decode and not revisit and whole:
             m.more(total)
-            payload = m.out[begin:total]
-            if self.verify and digest_of(payload) != got.get("payload_digest"):
+            body = m.out[begin:total]
+            payload = unchunked(body) if chunked else body
+            payload_bytes = len(payload)
+            digest = got.get("payload_digest")
+            # Some writers digest the body as it came and not what its chunks hold.
+            if self.verify and digest and algorithm.lower() in ("sha1", "") and digest not in (digest_of(payload), digest_of(body)):
                 raise ValueError(f"the payload at {path}:{at} has another digest")
         row = (path, at, *(got.get(c) for c in HEADERS.values()), length, payload_bytes, payload)
         return row, m.next_offset(total + 4)
@@ -262,7 +312,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Columns: record_type, record_id, target_uri, warc_date, refers_to, payload_digest (bare base32 SHA-1), payload."""
+    """Columns: record_type, record_id, target_uri, warc_date, refers_to, payload_digest (bare base32 SHA-1), payload, and payload_bytes,
+    which may be null where the payload is there. A revisit needs no payload but its digest and length."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -275,7 +326,7 @@ class WarcWriter(DataSourceArrowWriter):
             for b in iterator:
                 for r in b.to_pylist():
                     payload = r["payload"] or b""
-                    out.write(member(record_bytes(r["record_type"], r["record_id"], r["target_uri"], r["warc_date"], r["refers_to"], r["payload_digest"] or digest_of(payload), payload)))
+                    out.write(member(record_bytes(r["record_type"], r["record_id"], r["target_uri"], r["warc_date"], r["refers_to"], r["payload_digest"] or digest_of(payload), payload, r.get("payload_bytes"))))
                     some = True
         if not some:
             fs.delete_file(f"{path}/{name}")
@@ -324,6 +375,12 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool
     return spark.read.format("warc").option("payload", str(payload).lower()).option("verify", str(verify).lower()).load(path)
 
 
+def base32_of_hex(c: Column) -> Column:
+    """Upper-case base32 of 40 hexadecimal digits: each ten of them are 40 bits and eight letters."""
+    five = lambda part, i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.shiftright(F.conv(part, 16, 10).cast("long"), 35 - 5 * i).bitwiseAND(31).cast("int") + 1, F.lit(1))
+    return F.concat(*(five(F.substring(c, 10 * k + 1, 10), i) for k in range(4) for i in range(8)))
+
+
 def archive_pages(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write a record for each row of pages (page_id, url, html) to path.
 
@@ -334,18 +391,25 @@ def archive_pages(pages: DataFrame, path: str, least: int = 0, date: str = "2024
     register(spark)
     small_batches(spark)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(html, "UTF-8").alias("payload"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"), F.octet_length(html).alias("size"))
-    copied = rows.where(F.col("page_id").isNotNull() & (F.col("size") >= least)).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(html, "UTF-8").alias("payload"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
+    told = rows.drop("payload")
+    copied = told.where(F.col("page_id").isNotNull() & (F.col("size") >= least)).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     copied = materialize(copied, "copied")
-    tested = BlockedBloom.build(copied, F.xxhash64("sha1")).tested(rows, F.xxhash64("sha1"))
-    alone = tested.where("not possible").select("page_id", "url", "payload", "sha1", F.lit(None).cast("long").alias("first"))
-    shared = skew_safe_lookup(tested.where("possible").drop("possible"), copied, ["sha1", "size"], ["first"], "copies", F.col("page_id"))
-    records = alone.unionByName(shared.select("page_id", "url", "payload", "sha1", "first"))
-    revisit = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))
+    key = F.xxhash64("sha1")
+    # Only digests are looked up; payloads stay where they are, but for those of pages that the filter of revisits lets through wrongly.
+    met = skew_safe_lookup(BlockedBloom.build(copied, key).possible(told.where("page_id is not null"), key), copied, ["sha1", "size"], ["first"], "copies", F.col("page_id"))
+    revisits = materialize(met.where("first <> page_id"), "revisits")
+    again = F.xxhash64("page_id", "sha1")
+    tested = BlockedBloom.build(revisits, again).tested(rows, again)
+    known = revisits.select("page_id", "sha1").distinct()
+    responses = tested.where("not possible or page_id is null").drop("possible").unionByName(tested.where("possible and page_id is not null").drop("possible").join(known, ["page_id", "sha1"], "left_anti"))
+    records = responses.withColumn("first", F.lit(None).cast("long")).unionByName(revisits.withColumn("payload", F.lit(None).cast("binary")))
+    revisit = F.col("first").isNotNull()
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
+    digest = F.when(revisit, F.col("sha1"))
     records.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), name("page_id").alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("warc_date"),
-        F.when(revisit, name("first")).alias("refers_to"), F.lit(None).cast("string").alias("payload_digest"), "payload",
+        F.when(revisit, name("first")).alias("refers_to"), base32_of_hex(digest).alias("payload_digest"), "payload", F.col("size").alias("payload_bytes"),
     ).write.format("warc").mode("append").save(path)
 
 

@@ -62,6 +62,68 @@ def test_foreign_members(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path)).where("record_id = 'urn:page:7'").count() == 1
 
 
+def archive(path, *blocks, zipped=True, headers=""):
+    """An archive of response records with these blocks and no digest header."""
+    import gzip
+
+    records = [f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\n{headers}Content-Type: application/http\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, b in enumerate(blocks)]
+    path.write_bytes(b"".join(map(gzip.compress, records) if zipped else records))
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_heads_and_bodies_of_other_crawlers(spark, tmp_path, zipped):
+    """Long heads, LF alone, chunked bodies, no digest, payloads that are archives."""
+    cookie = b"HTTP/1.1 200 OK\r\nSet-Cookie: " + b"c" * 40_000 + b"\r\n\r\n"
+    inner = b"x\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    bodies = [b"thirteen byte", b"", b"body", b"Wikipedia", inner]
+    heads = [cookie, cookie * 1, b"HTTP/1.0 200 OK\nA: b\n\n", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n", b"HTTP/1.1 200 OK\r\n\r\n"]
+    sent = [*bodies[:3], b"4;x=y\r\nWiki\r\n5\r\npedia\r\n0\r\n\r\n", inner]
+    archive(tmp_path / ("a.warc.gz" if zipped else "a.warc"), *(h + b for h, b in zip(heads, sent, strict=True)), zipped=zipped)
+    got = {r.record_id: (r.payload_bytes, bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path), verify=True).collect()}
+    assert got == {f"urn:{i}": (len(b), b) for i, b in enumerate(bodies)}
+    light = {r.record_id: (r.payload_bytes, r.payload) for r in warc.read_warc(spark, str(tmp_path), payload=False).collect()}
+    assert light == {f"urn:{i}": (None if i == 3 else len(b), None) for i, b in enumerate(bodies)}
+
+
+def test_a_head_without_end(spark, tmp_path):
+    archive(tmp_path / "a.warc.gz", b"HTTP/1.1 200 OK\r\nA: " + b"x" * 50_000, b"HTTP/1.1 200 OK\r\n\r\nfine")
+    with pytest.raises(Exception, match="never ends"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+    warc.register(spark)
+    got = spark.read.format("warc").option("malformed", "null").load(str(tmp_path)).orderBy("record_id").collect()
+    assert [(r.payload_bytes, r.payload) for r in got] == [(None, None), (4, b"fine")]
+
+
+def test_wrong_digests_are_found(spark, tmp_path):
+    archive(tmp_path / "a.warc.gz", b"HTTP/1.1 200 OK\r\n\r\nfine", headers=f"WARC-Payload-Digest: sha1:{warc.digest_of(b'other')}\r\n")
+    assert warc.read_warc(spark, str(tmp_path)).count() == 1
+    with pytest.raises(Exception, match="another digest"):
+        warc.read_warc(spark, str(tmp_path), verify=True).collect()
+
+
+def test_plain_archives_split_when_told_so(tmp_path, monkeypatch):
+    archive(tmp_path / "a.warc", *(b"HTTP/1.1 200 OK\r\n\r\n" + b"y" * i for i in range(200)), zipped=False)
+    reader = lambda split: warc.WarcReader({"path": str(tmp_path), "split_plain": split})
+    rows = lambda r: sorted((x["record_id"], x["payload_bytes"]) for p in r.partitions() for b in r.read(p) for x in b.to_pylist())
+    whole = rows(reader("false"))
+    for step in (97, 300, 1000):
+        monkeypatch.setattr(warc, "SPLIT", step)
+        assert len(reader("true").partitions()) > 20 > len(reader("false").partitions()) and rows(reader("true")) == rows(reader("false")) == whole
+    assert len(whole) == 200
+
+
+def test_member_lengths(monkeypatch):
+    import gzip
+
+    record = warc.record_bytes("revisit", "a", None, "d", "b", "X", b"", 17)
+    assert gzip.decompress(warc.member(record)) == record and b"Content-Length: 17\r\n\r\n" in record
+
+
+def test_base32(spark):
+    got = spark.createDataFrame([(str(i),) for i in range(50)], "x string").select("x", warc.base32_of_hex(F.sha1("x")).alias("b"), warc.base32_of_hex(F.lit(None).cast("string")).alias("n")).collect()
+    assert all(r.b == warc.digest_of(r.x.encode()) and r.n is None for r in got)
+
+
 @pytest.mark.parametrize("url,host,path,rule,verdict", [
     ("http://A.example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"), ("http://example.net/de/", "example.net", "/de/", "net/", "block"), ("http://notexample.com/de/", "notexample.com", "/de/", None, "allow"),
     ("https://m.example.com/de/1", "m.example.com", "/de/1", "example.com/de/", "block"), ("http://x.org/fr/", "x.org", "/fr/", "org/fr/", "allow"), ("http://net", "net", "", None, "allow"), (None, "", "", None, "allow"), ("nothing", "", "", None, "allow"),
