@@ -17,6 +17,15 @@ def words_of(c: str) -> str:
     return f"list_filter(string_split_regex(coalesce({c}, ''), '{SPACE}+'), lambda x: x <> '')"
 
 
+def op1() -> str:
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, 10 * (i // 8) + 1, 10) as ubigint) >> (35 - 5 * (i % 8))) % 32 as int) + 1, 1)"
+    return f"""
+with p as (select page_id, coalesce(html, '') body, sha1(coalesce(html, '')) h from pages),
+f as (select *, min(page_id) over (partition by body) first_id from p)
+select page_id, strlen(body) payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: {letter}), '') payload_digest,
+  case when page_id <> first_id then 'revisit' else 'response' end record_type, case when page_id <> first_id then first_id end refers_to from f"""
+
+
 def op3() -> str:
     fits = lambda r: f"(host = '{r[0]}' or ends_with(host, '.{r[0]}')) and starts_with(path, '{r[1]}')"
     rules = sorted(RULES, key=lambda r: -len(rule_name(*r[:2])))
@@ -52,5 +61,16 @@ with items as ({shingles("benchmark", "item_id")}), docs as ({shingles("document
 select doc_id, item_id, count(*) n_shared, any_value(n) n_shingles from items join docs using (s) join sizes using (item_id) group by 1, 2 having 100 * count(*) >= 80 * any_value(n)"""
 
 
+def op10() -> str:
+    sets = f"select doc_id, unnest(list_distinct(case when len(w) in (1, 2) then [w] else list_transform(range(1, len(w) - 1), lambda k: w[k:k + 2]) end)) s from (select doc_id, {words_of(lowered('text'))} w from documents)"
+    return f"""
+with recursive sets as ({sets}), sizes as (select doc_id, count(*) n from sets group by 1),
+met as (select a.doc_id x, b.doc_id y, count(*) both_ from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from met join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * both_ >= 90 * (p.n + q.n - both_)),
+edges as (select x, y from links union select y, x from links),
+reach as (select distinct x, x as y from edges union select r.x, e.y from reach r join edges e on r.y = e.x)
+select d.doc_id, coalesce(n, 0) n_shingles, coalesce(component, d.doc_id) component_id from documents d left join sizes using (doc_id) left join (select x as doc_id, min(y) component from reach group by 1) using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": op3(), "op5_line_dedup": op5(), "op9_decontamination": op9()}
+    return {"op1_warc": op1(), "op10_ngram_jaccard": op10(), "op3_url_filter": op3(), "op5_line_dedup": op5(), "op9_decontamination": op9()}
