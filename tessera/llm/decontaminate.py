@@ -12,11 +12,13 @@ The minima of small blocks are computed once and combined to the windows of each
 the exact containment of its shingles in those of the whole document. Documents are judged where they stand: no shuffle, and
 no group of documents can get hot.
 
-The items of BLOCK_ITEMS at a time go to the tasks as an index, so its size is bounded; more items take more passes.
+The items of BLOCK_ITEMS or BLOCK_BYTES at a time are indexed on the driver, once, and the index goes to the tasks, so its size is
+bounded; more items take more passes. An item longer than BLOCK_BYTES makes a block of its own.
 
 Words: [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; shingles of n words, or the whole item where it is shorter (which only
 documents as short can contain). Null or empty items and documents contain nothing. Repeated rows are judged each for itself.
-Items that repeat an item_id count as items of their own. Empty tables give empty results.
+Items that repeat an item_id count as items of their own. Empty tables give empty results. Columns of documents other than doc_id
+and text are ignored by contained_items() and kept by drop_contaminated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ N, PERCENT = 5, 80
 PERMUTATIONS = 64
 #: Shingles of the smallest block; items of up to so many are looked up exactly, the sizes of others are partitioned by BASE times powers of two.
 BASE = 16
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 MULTIPLIERS = mix(np.arange(1, PERMUTATIONS + 1, dtype=U), 21) | U(1)
 
 
@@ -49,8 +51,6 @@ class ItemIndex:
                 self.ids.append(item_id)
                 self.sets.append(s)
         self.need = [-(-percent * len(s) // 100) for s in self.sets]
-        bits = max(16, int(np.ceil(np.log2(16 * len(self.sets) + 1))))
-        self.mask = U((1 << bits) - 1)
         by_level: dict[int, list[int]] = {}
         short: list[int] = []
         for i, s in enumerate(self.sets):
@@ -63,19 +63,34 @@ class ItemIndex:
         self.short, order = np.concatenate([np.zeros(0, U), *sought]), np.repeat(np.array(short, np.int64), [len(x) for x in sought])
         at = np.argsort(self.short, kind="stable")
         self.short, self.short_items = self.short[at], order[at]
-        self.short_map = np.zeros(1 << bits, bool)
-        self.short_map[self.short & self.mask] = True
-        #: level -> (items, for each permutation: sorted minima and the items in their order), and a bitmap of low bits.
+        #: level -> items, and for each permutation their sorted minima and the items in this order.
         self.levels = {}
-        self.maps = {}
         for level, members in sorted(by_level.items()):
-            minima = np.array([[(self.sets[i] * a).min() for i in members] for a in MULTIPLIERS], U)
+            flat, starts = np.concatenate([self.sets[i] for i in members]), np.cumsum([0] + [len(self.sets[i]) for i in members[:-1]])
+            minima = np.array([np.minimum.reduceat(flat * a, starts) for a in MULTIPLIERS], U)
             order = np.argsort(minima, axis=1, kind="stable")
-            seen = np.zeros((PERMUTATIONS, 1 << bits), bool)
+            self.levels[level] = (np.array(members), np.take_along_axis(minima, order, 1), order)
+        self.add_maps()
+
+    def add_maps(self) -> None:
+        """Bitmaps of the low bits of what is looked up."""
+        bits = max(16, int(np.ceil(np.log2(16 * len(self.sets) + 1))))
+        self.mask = U((1 << bits) - 1)
+        self.short_map = np.zeros(1 << bits, bool)
+        self.short_map[self.short & self.mask] = True
+        self.maps = {}
+        for level, (_, minima, _) in self.levels.items():
+            seen = self.maps[level] = np.zeros((PERMUTATIONS, 1 << bits), bool)
             for k in range(PERMUTATIONS):
                 seen[k, minima[k] & self.mask] = True
-            self.levels[level] = (np.array(members), np.take_along_axis(minima, order, 1), order)
-            self.maps[level] = seen
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("mask", "short_map", "maps")}
+
+    def __setstate__(self, state: dict) -> None:
+        """Bitmaps are larger than all else and don't travel."""
+        self.__dict__.update(state)
+        self.add_maps()
 
     def candidates(self, shingles: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) candidates; shingles: of all documents in order; sizes: how many each document has."""
@@ -125,13 +140,15 @@ class ItemIndex:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """Items, BLOCK_ITEMS at a time."""
+    """Items, BLOCK_ITEMS or BLOCK_BYTES at a time."""
     block: list[tuple[int, bytes]] = []
+    held = 0
     for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
         block.append((r.item_id, r.text.encode()))
-        if len(block) == BLOCK_ITEMS:
+        held += len(block[-1][1])
+        if len(block) == BLOCK_ITEMS or held >= BLOCK_BYTES:
             yield block
-            block = []
+            block, held = [], 0
     if block:
         yield block
 
@@ -142,9 +159,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = N, percent:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_shared long, n_shingles long"
 
-    def search(items: list[tuple[int, bytes]]):
+    def search(index: ItemIndex):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, cache = ItemIndex(items, n, percent), WordHashes()
+            cache = WordHashes()
             for b in batches:
                 got = index.matches(b.column("text").cast(pa.binary()).to_pylist(), cache, n)
                 ids = b.column("doc_id").to_pylist()
@@ -155,24 +172,25 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = N, percent:
 
     out = docs.sparkSession.createDataFrame([], schema)
     for items in item_blocks(benchmark):
-        out = out.union(docs.mapInArrow(search(items), schema))
+        out = out.union(docs.mapInArrow(search(ItemIndex(items, n, percent)), schema))
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs (with a text column) that contain no item."""
+    """The rows of docs (with a text column) that contain no item; rows with a null or empty text contain none and stay."""
     small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
 
-    def clean(items: list[tuple[int, bytes]]):
+    def clean(index: ItemIndex):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, cache = ItemIndex(items, n, percent), WordHashes()
+            cache = WordHashes()
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[d for d, _, _ in index.matches(b.column("text").cast(pa.binary()).to_pylist(), cache, n)]] = False
+                keep[[d for d, _, _ in index.matches(b.column(at).cast(pa.binary()).to_pylist(), cache, n)]] = False
                 yield b.filter(pa.array(keep))
 
         return rows
 
     for items in item_blocks(benchmark):
-        docs = docs.mapInArrow(clean(items), docs.schema)
+        docs = docs.mapInArrow(clean(ItemIndex(items, n, percent)), docs.schema)
     return docs
