@@ -172,11 +172,66 @@ def test_classifier(spark, edges, nothing):
 
 
 def test_licenses(spark, edges, nothing):
-    texts = ["Released under the MIT License.\nsome text", "Licensed under the Apache License, Version 2.0.", "We read the license of a ship on the river.", "This work is licensed under the GNU General Public License, version 3.", "all rights reserved", None, "reserved seats only at the table"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: (r.line_no, r.family, r.confirmed) for r in license_scan.scan_licenses(df).collect()}
-    assert got == {0: (0, "MIT", True), 1: (0, "Apache-2.0", True), 2: (0, "unknown", False), 3: (0, "GPL-3.0", True), 4: (0, "proprietary", True), 6: (0, "unknown", False)}
+    """Denied, other and mentioned licences are not confirmed; statements may run over lines; paragraphs end at blank lines."""
+    warranty = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    texts = {
+        "Released under the MIT License.\nsome text": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under the\nApache License,\nVersion 2.0": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "all rights reserved": "proprietary", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", warranty: "MIT", "Provided as is, without warranty of any kind.": "MIT", "Licensed under the Eclipse Public License 2.0": "EPL-2.0",
+        "Licensed under CC-BY-NC-4.0.": "CC-BY-NC-4.0", "We read the license of a ship on the river.": None, "reserved seats only at the table": None, "This is not released under the MIT license": None, "All rights reserved seats were sold": None,
+        "Licensed under the European Union Public Licence": None, "students at MIT built a boat": None,
+    }
+    df = spark.createDataFrame([(i, t, 1, "clash") for i, t in enumerate(texts)] + [(900, None, 1, "x"), (901, "", 1, "x"), (902, "no word of it", 1, "x")], "doc_id long, text string, paragraph_no int, family string")
+    got = {r.doc_id: r.family if r.confirmed else None for r in license_scan.scan_licenses(df).collect()}
+    assert got == dict(enumerate(texts.values()))
     assert license_scan.scan_licenses(edges).count() == 0 and license_scan.scan_licenses(nothing).count() == 0
+    stone = " ".join(["stone"] * 700)
+    text = f"Released under the MIT License.\n \n\n{stone} Licensed under the Apache License, Version 2.0. {stone} Licensed under CC BY 4.0.\n{stone}\n\nThe table was reserved."
+    again = spark.createDataFrame([(None, text), (7, text), (7, text)], "doc_id long, text string")
+    want = [(0, "MIT"), (1, "Apache-2.0"), (1, "CC-BY-4.0"), (2, "unknown")]
+    assert sorted((str(r.doc_id), r.paragraph_no, r.family) for r in license_scan.scan_licenses(again).collect()) == sorted((d, *w) for d in ("None", "7", "7") for w in want)
+
+
+def test_license_scores_by_brute_force(spark):
+    """Probabilities of whole short paragraphs, from the model's n-grams in plain Python."""
+    families, grams, intercepts, accuracy = license_scan.train()
+    assert accuracy > 0.95
+    model = dict(grams)
+    rng = random.Random(11)
+    rows = [(i, " ".join(w)) for i, (_, w) in enumerate(license_scan.training_paragraphs(rng)[::97]) if len(w) < 100]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) > 20
+    for i, text in rows:
+        words = [".", *license_scan.words_in(text), "."]
+        if not set(words) & set(license_scan.SIGNALS):
+            assert i not in got
+            continue
+        z = [b + sum(model[g][k] for g in license_scan.grams_of(words) if g in model) for k, b in enumerate(intercepts)]
+        assert got[i].family == families[z.index(max(z))] and got[i].probability == pytest.approx(1 / sum(math.exp(x - max(z)) for x in z), abs=2e-6)
+
+
+def test_license_recall_by_family():
+    """Statements that no training paragraph has, in sentences around them: each family is found, and no denial is."""
+    families, grams, intercepts, _ = license_scan.train()
+    model = dict(grams)
+    said = ["The code in this folder is licensed under {} since last year.", "Released under {}.", "Our library is distributed under the terms of {} for all."]
+    names = {
+        "Apache-2.0": "the Apache License, Version 2.0", "MIT": "the MIT license", "BSD": "the BSD 3-clause license", "ISC": "the ISC license", "GPL-2.0": "the GNU General Public License, version 2", "GPL-3.0": "the GNU General Public License, version 3", "LGPL": "the GNU Lesser General Public License", "AGPL": "the GNU Affero General Public License",
+        "MPL-2.0": "the Mozilla Public License", "EPL-2.0": "the Eclipse Public License 2.0", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-4.0": "CC BY 4.0", "Unlicense": "the Unlicense",
+    }
+
+    def family(text):
+        z = [b + sum(model[g][k] for g in license_scan.grams_of([".", *license_scan.words_in(text), "."]) if g in model) for k, b in enumerate(intercepts)]
+        return families[z.index(max(z))]
+
+    right = [(n, family(s.format(t))) for n, t in names.items() for s in said]
+    assert sum(a == b for a, b in right) >= 0.95 * len(right), [x for x in right if x[0] != x[1]]
+    false = [family("This is not " + s.format(t)[0].lower() + s.format(t)[1:]) for t in names.values() for s in said[1:2]]
+    assert sum(x == "unknown" for x in false) >= 0.85 * len(false), false
+
+
+def test_signals_are_in_every_template():
+    assert all(set(license_scan.words_in(s)) & set(license_scan.SIGNALS) for ss in license_scan.TEMPLATES.values() for s in ss), [s for ss in license_scan.TEMPLATES.values() for s in ss if not set(license_scan.words_in(s)) & set(license_scan.SIGNALS)]
+    assert all(len(license_scan.words_in(s)) <= license_scan.STRIDE for ss in license_scan.TEMPLATES.values() for s in ss)
 
 
 def test_decontamination(spark, edges, nothing):
@@ -213,6 +268,30 @@ def test_short_items_are_never_missed(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(df, bench).collect()} == {(i, i) for i in range(1600)}
 
 
+def test_the_index_travels_without_bitmaps(monkeypatch):
+    import pickle
+
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([6, 40, 90]))).encode()) for i in range(50)]
+    index = decontaminate.ItemIndex(items, 5, 80)
+    sent = pickle.dumps(index)
+    assert len(sent) < 200_000
+    back, texts = pickle.loads(sent), [t for _, t in items] + [None]
+    assert back.matches(texts, decontaminate.WordHashes(), 5) == index.matches(texts, decontaminate.WordHashes(), 5) and len(index.matches(texts, decontaminate.WordHashes(), 5)) >= 50
+
+
+def test_decontamination_in_many_blocks_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(8))) for i in range(5)] + [(4, "i4w0 i4w1 i4w2 i4w3 i4w4 i4w5 i4w6 i4w7")]
+    docs = [(1, "x " + items[0][1] + " y", "m", 3), (1, "x " + items[0][1] + " y", "m", 3), (2, None, None, None), (3, "", "m", 1), (4, items[4][1] + " " + items[2][1], "m", 2), (None, items[1][1], "m", 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, matches string, n_shared long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate.contained_items(df, bench).collect()), key=str)
+    assert got == sorted([(1, 0, 4, 4)] * 2 + [(4, 2, 4, 4)] + [(4, 4, 4, 4)] * 2 + [(None, 1, 4, 4)], key=str)
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
 def test_pipeline_decodes(spark, edges):
     """The last stage decodes its ids as the library does."""
     import corpus_pipeline
