@@ -56,7 +56,9 @@ def skew_safe_lookup(rows: DataFrame, table: DataFrame, keys: list[str], values:
     """
     hot = table.orderBy(F.desc(weight), *keys).limit(HOT_KEYS).select(*keys, F.struct(*values).alias("_hot"))
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).otherwise(F.lit(0).cast("long")))
-    found = salted.join(table.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_salt")), [*keys, "_salt"], "left")
+    # Always 0, but nothing that the optimizer can know: it would join by the keys alone, and hot rows would meet in a task again.
+    cold_salt = F.pmod(F.coalesce(F.col(weight).cast("long"), F.lit(0)), F.lit(1)).cast("long")
+    found = salted.join(table.select(*keys, F.struct(*values).alias("_cold"), cold_salt.alias("_salt")), [*keys, "_salt"], "left")
     got = F.coalesce("_hot", "_cold")
     return found.select(*rows.columns, *(got[v].alias(v) for v in values))
 

@@ -150,6 +150,18 @@ def test_bloom_has_no_false_negatives(spark):
     assert tested.where("id >= 5000 and possible").count() < 600
 
 
+def test_hot_rows_are_dealt_by_their_salt(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 7 k", "id").write.parquet(str(tmp_path / "rows"))
+    spark.range(7).selectExpr("id k", "id v", "id w").write.parquet(str(tmp_path / "table"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = skew_safe_lookup(spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "table")), ["k"], ["v"], "w", F.col("id"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert all("_salt" in line for line in plan.split("\n") if "hashpartitioning" in line) and "hashpartitioning" in plan
+
+
 def test_lookup_and_components(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).cast("long").alias("k"), "id")
     table = spark.range(900).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.when(F.col("id") == 1, 700).otherwise(1).alias("w"))
