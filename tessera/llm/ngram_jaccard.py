@@ -11,12 +11,17 @@ inequality gives the windows in which boundary documents are replicated, and reg
    is the union of its cells; a document is in the region of each pivot that it meets, which is where boundary documents
    are replicated. Sizes have regions too: d <= t bounds the ratio of sizes, and a set near the upper end of its size
    region is replicated to the next.
-3. A region is joined exactly in one task: recursively, further pivots make Voronoi cells, x is replicated to cell j when
-   d(x, p_j) <= d(x, nearest) + 2 t, and cells that no longer shrink are compared by counting common shingles.
-   Before that, members without a rare shingle in common with any other are set aside.
-   A region that is too large for a task is cut into blocks, and pairs of blocks go to tasks of their own.
+3. A region over BLOCK_DOCS documents or BLOCK_SHINGLES shingles is split by metric pivots of its own, in rounds: PIVOTS of its members, those
+   not linked yet first, a cell for each and one for what is far from all of them, and x in cell j when d(x, p_j) <= d(x, nearest) + 2 t
+   and it is not much farther from p_j than what lives there (voronoi()), so no link is lost. Members within t of
+   a pivot are linked to it, and pivots that share such a member are one group; a cell of one group is done, which is
+   how a group of near copies of any size costs a few distances a member and no pairs. What is still large after ROUNDS rounds is joined by pairs
+   of blocks, but for blocks of the same group. The members of a cell are dealt to tasks by salts in each round.
+4. In a task, members without a rare shingle in common with any other are set aside, and others are joined recursively: pivots
+   far from one another, links to them, such cells, until a cell is of one group, or has LEAF members, or its cells have hardly
+   fewer pairs; then its members are compared one by one with those of other groups.
    Tasks return a spanning star of each group that they find, never its pairs.
-4. Links between representatives become components by rounds of smallest labels.
+5. Links between representatives become components by rounds of smallest labels.
 
 Nulls: a document without words, text or doc_id is linked with nothing (n_shingles 0 for the first two); a null
 doc_id has a null component. Rows that share a doc_id count as one document with the links of each of its texts.
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +48,9 @@ RATIO = 1.5
 #: More than the size regions that a set can be in.
 REGIONS = 64
 #: Most documents and shingles of a block of a region.
-BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 3_000_000
-#: Recursion ends at so many documents; pivots of a step of the recursion.
-LEAF, PIVOTS = 256, 6
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
+#: Recursion in a task ends at so many documents; pivots of a step, in tasks and between them; rounds of splitting large regions.
+LEAF, PIVOTS, ROUNDS = 16, 6, 4
 
 
 def size_bounds() -> np.ndarray:
@@ -124,29 +130,6 @@ def set_rows(n: int, percent: int):
     return rows
 
 
-def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Matrix of |x & y| for x in a, y in b, by products of incidence matrices over slices of their common shingles."""
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    fa, fb = np.concatenate(a), np.concatenate(b)
-    shared = np.intersect1d(fa, fb)
-    out = np.zeros((len(a), len(b)), np.float32)
-    if not len(shared):
-        return out.astype(np.int64)
-    ra, rb = np.repeat(np.arange(len(a)), la), np.repeat(np.arange(len(b)), lb)
-    ia, ib = np.searchsorted(shared, fa), np.searchsorted(shared, fb)
-    ka, kb = shared[np.minimum(ia, len(shared) - 1)] == fa, shared[np.minimum(ib, len(shared) - 1)] == fb
-    ra, ia, rb, ib = ra[ka], ia[ka], rb[kb], ib[kb]
-    width = max(256, 8_000_000 // max(len(a), len(b)))
-    for lo in range(0, len(shared), width):
-        hi = min(lo + width, len(shared))
-        x, y = np.zeros((len(a), hi - lo), np.float32), np.zeros((len(b), hi - lo), np.float32)
-        va, vb = (ia >= lo) & (ia < hi), (ib >= lo) & (ib < hi)
-        x[ra[va], ia[va] - lo] = 1
-        y[rb[vb], ib[vb] - lo] = 1
-        out += x @ y.T
-    return np.rint(out).astype(np.int64)
-
-
 class Groups:
     """Union-find over the documents of a task."""
 
@@ -164,34 +147,98 @@ class Groups:
         self.up[max(a, b)] = min(a, b)
 
 
-def join_sets(sets: list[np.ndarray], members: np.ndarray, side: np.ndarray | None, percent: int, groups: Groups) -> None:
-    """Join in groups what is linked among members; side: only pairs of different sides count (None: all pairs)."""
-    size = np.array([len(sets[i]) for i in members])
-    if len(members) > LEAF:
-        t = 1 - percent / 100 + 1e-9
-        picked = members[np.linspace(0, len(members) - 1, PIVOTS).astype(int)]
-        plen = np.array([len(sets[i]) for i in picked])
-        common = common_counts([sets[i] for i in members], [sets[i] for i in picked])
-        d = 1 - common / (size[:, None] + plen[None] - common)
-        near = d <= d.min(axis=1, keepdims=True) + 2 * t
-        if near.sum(axis=0).max() <= 0.8 * len(members):
-            for j in range(PIVOTS):
-                join_sets(sets, members[near[:, j]], side, percent, groups)
+def voronoi(d: np.ndarray, t: float, radius: float) -> np.ndarray:
+    """d: distances, a row for each pivot -> who is in each pivot's cell, and in a last row who is in the cell of the rest.
+
+    The home of x is its nearest pivot's cell, or the rest when that is farther than radius. x is in the cell of p too when
+    d(x, p) <= min(d(x, nearest) + 2 t, radius + t): if y has its home there and d(x, y) <= t, then d(x, p) <= d(y, p) + t is
+    within both, and two homeless ones are both in the rest. So every link has its ends in a cell together.
+    """
+    nearest = d.min(axis=0)
+    return np.vstack([d <= np.minimum(nearest + 2 * t, radius + t) + 1e-9, nearest > radius])
+
+
+def middle_radius(t: float) -> float:
+    """Between what is near and what has nothing in common, with a window of t on the way."""
+    return max(t, (1 - t) / 2)
+
+
+class Region:
+    """The sets of a task: distances of all of some members to one set, and the recursive join."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int, groups: Groups, side: np.ndarray | None = None):
+        """side: only pairs of different sides count (None: all pairs)."""
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.codes = np.unique(np.concatenate([np.zeros(0, U), *sets]), return_inverse=True)[1]
+        self.seen = np.zeros(len(self.codes) + 1, bool)
+        self.percent, self.groups, self.side = percent, groups, side
+        self.splits = self.leaves = self.compared = 0
+
+    def subset(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of members one after the other, where each begins)."""
+        size = self.size[members]
+        starts = np.cumsum(size) - size
+        return self.codes[np.arange(size.sum()) + np.repeat(self.at[members] - starts, size)], starts
+
+    def common(self, pivot: int, subset: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """|x & pivot| for each x of a subset; no set is empty."""
+        own = self.codes[self.at[pivot] : self.at[pivot] + self.size[pivot]]
+        self.seen[own] = True
+        out = np.add.reduceat(self.seen[subset[0]], subset[1], dtype=np.int64)
+        self.seen[own] = False
+        self.compared += len(out)
+        return out
+
+    def linked(self, common: np.ndarray, pivot: int, members: np.ndarray) -> np.ndarray:
+        return 100 * common >= self.percent * (self.size[members] + self.size[pivot] - common)
+
+    def distance(self, common: np.ndarray, pivot: int, members: np.ndarray) -> np.ndarray:
+        return 1 - common / (self.size[members] + self.size[pivot] - common)
+
+    def done(self, members: np.ndarray) -> bool:
+        """There is no pair left to compare: one group, or one side."""
+        root = self.groups.find(int(members[0]))
+        return all(self.groups.find(int(i)) == root for i in members[1:]) or (self.side is not None and len(np.unique(self.side[members])) == 1)
+
+    def join(self, members: np.ndarray) -> None:
+        """Join in groups what is linked among members."""
+        if len(members) < 2 or self.done(members):
             return
-    for lo in range(0, len(members), LEAF):
-        rows = members[lo : lo + LEAF]
-        for at in range(lo, len(members), LEAF):
-            cols = members[at : at + LEAF]
-            rl, cl = size[lo : lo + LEAF], size[at : at + LEAF]
-            if 100 * min(rl.max(), cl.max()) < percent * max(rl.min(), cl.min()):
+        subset = self.subset(members)
+        if len(members) > LEAF:
+            nearest, rows, pivot = np.full(len(members), np.inf), [], 0
+            while len(rows) < PIVOTS and (not rows or nearest.max() > 0):
+                common = self.common(int(members[pivot]), subset)
+                for i in members[self.linked(common, int(members[pivot]), members)]:
+                    self.groups.join(int(i), int(members[pivot]))
+                rows.append(self.distance(common, int(members[pivot]), members))
+                nearest = np.minimum(nearest, rows[-1])
+                pivot = int(nearest.argmax())
+            if self.done(members):
+                return
+            t = 1 - self.percent / 100
+            pairs = lambda cells: int((cells.sum(axis=1).astype(np.int64) ** 2).sum())
+            cells = min((voronoi(np.array(rows), t, r) for r in (t, middle_radius(t), 1.0)), key=pairs)
+            # Windows replicate: cells must have far fewer pairs together than there are.
+            if pairs(cells) <= len(members) ** 2 * 3 // 4:
+                self.splits += 1
+                for cell in cells:
+                    self.join(members[cell])
+                return
+        self.leaves += 1
+        roots = np.array([self.groups.find(int(i)) for i in members])
+        for k, i in enumerate(members[:-1]):
+            others = roots[k + 1 :] != roots[k]
+            if self.side is not None:
+                others &= self.side[members[k + 1 :]] != self.side[i]
+            if not others.any():
                 continue
-            common = common_counts([sets[i] for i in rows], [sets[i] for i in cols])
-            linked = 100 * common >= percent * (rl[:, None] + cl[None] - common)
-            if side is not None:
-                linked &= side[rows][:, None] != side[cols][None]
-            for i, j in zip(*np.nonzero(linked), strict=True):
-                if rows[i] != cols[j]:
-                    groups.join(int(rows[i]), int(cols[j]))
+            hit = np.flatnonzero(others & self.linked(self.common(int(i), (subset[0][subset[1][k + 1] :], subset[1][k + 1 :] - subset[1][k + 1])), int(i), members[k + 1 :]))
+            if len(hit):
+                for j in members[k + 1 :][hit]:
+                    self.groups.join(int(i), int(j))
+                roots = np.array([self.groups.find(int(x)) for x in members])
 
 
 def may_link(sets: list[np.ndarray], members: np.ndarray, percent: int) -> list[np.ndarray]:
@@ -215,29 +262,164 @@ def may_link(sets: list[np.ndarray], members: np.ndarray, percent: int) -> list[
     return [members[g] for g in np.split(by, np.flatnonzero(np.diff(roots[by])) + 1) if len(g) > 1]
 
 
-def region_links(n: int, percent: int):
-    """One (pivot, i, j) block pair -> stars (src, dst) of the groups in it."""
+def sets_of(table: pa.Table, n: int) -> list[np.ndarray]:
     cache = WordHashes()
+    return [shingle_set(t, n, cache) for t in table.column("text").cast(pa.binary()).to_pylist()]
+
+
+def join_region(ids: list[int], sets: list[np.ndarray], known: list[int | None], side: np.ndarray | None, percent: int) -> tuple[list[tuple[int, int]], Region | None]:
+    """Stars (id, smallest id of its group) of what is linked, and the region with its counts; known: groups that are linked already."""
+    groups = Groups(len(ids))
+    first: dict[int, int] = {}
+    for i, g in enumerate(known):
+        if g is not None:
+            groups.join(i, first.setdefault(g, i))
+    order = np.lexsort((ids, [len(s) for s in sets]))
+    apart = may_link(sets, order, percent)
+    region = Region(sets, percent, groups, side) if apart else None
+    for members in apart:
+        region.join(members)
+    least: dict[int, int] = {}
+    roots = [groups.find(i) for i in range(len(ids))]
+    for r, x in zip(roots, ids, strict=True):
+        least[r] = min(x, least.get(r, x))
+    return sorted({(x, least[r]) for r, x in zip(roots, ids, strict=True) if x != least[r]}), region
+
+
+def region_links(n: int, percent: int):
+    """One cell or pair of blocks -> stars (src, dst) of the groups in it."""
 
     def links(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("rep").to_pylist(), np.int64)
-        sets = [shingle_set(t, n, cache) for t in table.column("text").cast(pa.binary()).to_pylist()]
-        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        side = np.array(table.column("block").to_pylist()) if cross else None
-        order = np.lexsort((ids, [len(s) for s in sets]))
-        groups = Groups(len(ids))
-        for members in may_link(sets, order, percent):
-            join_sets(sets, members, side, percent, groups)
-        least: dict[int, int] = {}
-        roots = [groups.find(i) for i in range(len(ids))]
-        for r, x in zip(roots, ids.tolist(), strict=True):
-            least[r] = min(x, least.get(r, x))
-        pairs = sorted({(x, least[r]) for r, x in zip(roots, ids.tolist(), strict=True) if x != least[r]})
+        blocks = np.array(table.column("block").to_pylist())
+        side = blocks if len(np.unique(blocks)) > 1 else None
+        pairs, _ = join_region(table.column("rep").to_pylist(), sets_of(table, n), table.column("grp").to_pylist(), side, percent)
         return pa.table({"src": pa.array([p[0] for p in pairs], pa.int64()), "dst": pa.array([p[1] for p in pairs], pa.int64())})
 
     return links
 
 
+def pivot_rows(n: int, percent: int):
+    """Members (part -1) and pivots (part from 0) of a cell -> (cell, rep, size, grp, stars, linked, near) of members.
+
+    stars: pivots within t; linked, near: masks of the pivots within t, and of those whose cell the member is in.
+    """
+    schema = pa.schema([("cell", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("grp", pa.int64()), ("stars", pa.list_(pa.int64())), ("linked", pa.int32()), ("near", pa.int32())])
+
+    def rows(table: pa.Table) -> pa.Table:
+        part, reps = np.array(table.column("part").to_pylist()), table.column("rep").to_pylist()
+        members, pivots = np.flatnonzero(part < 0), np.flatnonzero(part >= 0)
+        if not len(members) or not len(pivots):
+            return schema.empty_table()
+        region = Region(sets_of(table, n), percent, Groups(0))
+        subset = region.subset(members)
+        common = [region.common(int(p), subset) for p in pivots]
+        within = np.array([region.linked(c, int(p), members) for c, p in zip(common, pivots, strict=True)])
+        d = np.array([region.distance(c, int(p), members) for c, p in zip(common, pivots, strict=True)])
+        near = voronoi(d, 1 - percent / 100, middle_radius(1 - percent / 100))
+        bits = (1 << np.append(part[pivots], PIVOTS)).astype(np.int32)[:, None]
+        masks = [np.bitwise_or.reduce(np.where(x, b, 0), axis=0) for x, b in ((within, bits[:-1]), (near, bits))]
+        stars = [{reps[int(p)] for p in pivots[w]} for w in within.T]
+        # A doc_id with several texts is one member, with what each of them is near to.
+        first: dict[int, int] = {}
+        for k, i in enumerate(members):
+            j = first.setdefault(reps[int(i)], k)
+            if j != k:
+                stars[j] |= stars[k]
+                for m in masks:
+                    m[j] |= m[k]
+        kept = list(first.values())
+        rows = table.select(["cell", "rep", "size", "grp"]).take(pa.array(members[kept]))
+        return pa.Table.from_arrays([*(c.combine_chunks() for c in rows.columns), pa.array([sorted(stars[k]) for k in kept], pa.list_(pa.int64())), *(pa.array(m[kept]) for m in masks)], schema=schema)
+
+    return rows
+
+
+def merged_groups(table: pa.Table) -> pa.Table:
+    """The distinct (grp, linked) of a cell -> for each the group that they make together: a few values a pivot, however many members."""
+    cell, known, masks = table.column("cell")[0].as_py(), table.column("grp").to_pylist(), table.column("linked").to_pylist()
+    tokens = {("grp", g): g for g in known if g is not None} | {("bit", k): int(mix(np.array([cell & (1 << 64) - 1], U), 40 + k).view(np.int64)[0]) for k in range(PIVOTS)}
+    at = {t: i for i, t in enumerate(tokens)}
+    groups = Groups(len(tokens))
+    each = [[at[t] for t in ([("grp", g)] if g is not None else []) + [("bit", k) for k in range(PIVOTS) if m >> k & 1]] for g, m in zip(known, masks, strict=True)]
+    for held in each:
+        for i in held[1:]:
+            groups.join(held[0], i)
+    names = list(tokens.values())
+    new = [names[groups.find(held[0])] if held else None for held in each]
+    return pa.table({"cell": pa.array([cell] * len(new), pa.int64()), "grp": pa.array(known, pa.int64()), "linked": pa.array(masks, pa.int32()), "merged": pa.array(new, pa.int64())})
+
+
+def open_cells(members: DataFrame) -> DataFrame:
+    """(cell, docs, blocks) of cells (cell, rep, size, grp) with something left to compare."""
+    g = members.groupBy("cell").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"), F.count("grp").alias("known"), F.min("grp").alias("a"), F.max("grp").alias("b"))
+    g = g.where("docs > 1 and (known < docs or a <> b)")
+    return g.select("cell", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
+def split_round(members: DataFrame, big: DataFrame, texts: DataFrame, n: int, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(members in new cells, edges to pivots) of the cells in big."""
+    hot = materialize(skew_safe_lookup(members, big, ["cell"], ["blocks"], "docs", F.col("rep")).where("blocks is not null"), "hot")
+    h = F.xxhash64("rep", F.lit(turn))
+    first = F.min(F.struct(F.col("grp").isNotNull().alias("known"), h.alias("h"), "rep", "blocks")).alias("p")
+    pivots = hot.groupBy("cell", F.pmod(h, F.lit(PIVOTS)).cast("int").alias("part")).agg(first).select("cell", "part", "p.rep", "p.blocks")
+    plain = hot.join(texts, "rep").select("cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("salt"), "rep", "size", "grp", F.lit(-1).alias("part"), "text")
+    spread = pivots.join(texts, "rep").select("cell", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), "rep", F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("grp"), "part", "text")
+    schema = "cell long, rep long, size long, grp long, stars array<long>, linked int, near int"
+    near = materialize(plain.union(spread).groupBy("cell", "salt").applyInArrow(pivot_rows(n, percent), schema), "near")
+    edges = near.select(F.col("rep").alias("src"), F.explode("stars").alias("dst")).where("src <> dst")
+    states = near.groupBy("cell", "grp", "linked").agg(F.count("*").alias("n"))
+    merged = states.select("cell", "grp", "linked").groupBy("cell").applyInArrow(merged_groups, "cell long, grp long, linked int, merged long")
+    # A cell splits when its parts have fewer pairs and are not many times its size; else it goes on whole, with other pivots.
+    counts = near.groupBy("cell").agg(F.count("*").alias("docs"), *(F.sum(F.shiftright("near", k).bitwiseAND(1)).cast("double").alias(f"n{k}") for k in range(PIVOTS + 1)))
+    parts = [F.col(f"n{k}") for k in range(PIVOTS + 1)]
+    splits = (sum((x * x for x in parts), F.lit(0.0)) <= 0.75 * F.col("docs") * F.col("docs")) & (sum(parts, F.lit(0.0)) <= 2 * F.col("docs"))
+    plan = materialize(counts.select("cell", "docs", splits.alias("splits")).join(merged.groupBy("cell").agg(F.collect_list(F.struct("grp", "linked", "merged")).alias("states")), "cell"), "plan")
+    told = skew_safe_lookup(near, plan, ["cell"], ["splits", "states"], "docs", F.col("rep"))
+    state = F.get(F.filter("states", lambda x: x.grp.eqNullSafe(F.col("grp")) & (x.linked == F.col("linked"))), F.lit(0))
+    whole = F.array(F.xxhash64("cell", F.lit(turn), F.lit(-1)))
+    cells = F.when(F.col("splits"), F.array_compact(F.array(*(F.when(F.shiftright("near", k).bitwiseAND(1) == 1, F.xxhash64("cell", F.lit(turn), F.lit(k))) for k in range(PIVOTS + 1))))).otherwise(whole)
+    return told.select(F.explode_outer(cells).alias("cell"), "rep", "size", state.merged.alias("grp")), edges
+
+
+def block_pairs(members: DataFrame, big: DataFrame) -> DataFrame:
+    """(cell, pair, block, rep, grp): the members of large cells in pairs of blocks; blocks are of one group each, and those of the same group don't meet."""
+    hot = skew_safe_lookup(members, big, ["cell"], ["blocks"], "docs", F.col("rep")).where("blocks is not null").withColumn("g", F.coalesce("grp", F.lit(0)))
+    sizes = hot.groupBy("cell", "g", "grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("of"), F.count("*").alias("docs"))
+    sizes = materialize(sizes, "blocks")
+    block = sizes.select("cell", "grp", "g", F.explode_outer(F.sequence(F.lit(0), F.col("of") - 1)).alias("b"))
+    side = lambda s: block.select("cell", *(F.col(c).alias(f"{s}_{c}") for c in ("grp", "g", "b")))
+    order = F.struct("x_g", "x_b") <= F.struct("y_g", "y_b")
+    # A pair of blocks, not of members: a cell has as many blocks as it has members by BLOCK_DOCS.
+    pairs = side("x").join(side("y"), "cell").where(order & ~F.coalesce(F.col("x_grp") == F.col("y_grp"), F.lit(False)))
+    ends = pairs.select("cell", F.xxhash64("x_g", "x_b", "y_g", "y_b").alias("pair"), F.array_distinct(F.array(F.struct(F.col("x_g").alias("g"), F.col("x_b").alias("b")), F.struct(F.col("y_g").alias("g"), F.col("y_b").alias("b")))).alias("ends"))
+    ends = ends.select("cell", "pair", F.explode_outer("ends").alias("e")).select("cell", "pair", "e.g", "e.b")
+    dealt = skew_safe_lookup(hot, sizes, ["cell", "g"], ["of"], "docs", F.col("rep")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
+    return dealt.join(ends, ["cell", "g", "b"]).select("cell", "pair", F.xxhash64("g", "b").alias("block"), "rep", "grp")
+
+
+def region_edges(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (src, dst) between the members (cell, rep, size) of all regions, which have the components of their links."""
+    members = members.withColumn("grp", F.lit(None).cast("long"))
+    edges, small = [], []
+    for turn in range(ROUNDS):
+        cells = materialize(open_cells(members), "cells")
+        small.append(skew_safe_lookup(members, cells.where("blocks = 1"), ["cell"], ["blocks"], "docs", F.col("rep")).where("blocks is not null").select("cell", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("long").alias("block"), "rep", "grp"))
+        big = cells.where("blocks > 1")
+        if big.isEmpty():
+            break
+        members, to_pivots = split_round(members, big, texts, n, percent, turn)
+        members = materialize(members, "members")
+        edges.append(to_pivots)
+    else:
+        cells = materialize(open_cells(members), "cells")
+        small.append(skew_safe_lookup(members, cells.where("blocks = 1"), ["cell"], ["blocks"], "docs", F.col("rep")).where("blocks is not null").select("cell", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("long").alias("block"), "rep", "grp"))
+        if not cells.where("blocks > 1").isEmpty():
+            small.append(block_pairs(members, cells.where("blocks > 1")))
+    placed = reduce(DataFrame.union, small)
+    edges.append(placed.join(texts, "rep").select("cell", "pair", "block", "rep", "grp", "text").groupBy("cell", "pair").applyInArrow(region_links(n, percent), "src long, dst long"))
+    return reduce(DataFrame.union, edges)
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id long, text string).
 
@@ -259,14 +441,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     crowded = F.row_number().over(Window.partitionBy("rep", "code").orderBy(F.desc("n"), "key"))
     pairs = met.withColumn("crowded", crowded).where("crowded > code div " + str(REGIONS)).select("pivot", "rep").distinct()
     members = materialize(pairs.join(reps, "rep").select("pivot", "rep", "size"), "members")
-    regions = members.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles")).where("docs > 1")
-    regions = regions.select("pivot", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = skew_safe_lookup(members, regions, ["pivot"], ["blocks"], "docs", F.col("rep")).where("blocks is not null")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("pivot", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     linked_ids = BlockedBloom.build(members.select("rep").distinct(), F.xxhash64("rep"))
     texts = linked_ids.possible(docs.where("doc_id is not null").withColumnRenamed("doc_id", "rep"), F.xxhash64("rep"))
-    edges = placed.join(texts, "rep").select("pivot", "i", "j", "block", "rep", "text").groupBy("pivot", "i", "j").applyInArrow(region_links(n, percent), "src long, dst long")
+    edges = region_edges(members.withColumnRenamed("pivot", "cell"), texts, n, percent)
     labels = components(edges)
     classes = classes.join(labels, classes.rep == labels.node, "left").select("s1", "s2", "copies", F.coalesce("component", "rep").alias("component"))
     out = skew_safe_lookup(sets.select("doc_id", "n_shingles", "s1", "s2"), classes, ["s1", "s2"], ["component"], "copies", F.col("doc_id"))

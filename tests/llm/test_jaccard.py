@@ -43,8 +43,7 @@ def test_edges(spark, edges, nothing, n, percent):
 
 
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_near_copies(spark, n, percent, monkeypatch):
-    monkeypatch.setattr(ngram_jaccard, "LEAF", 16)
+def test_near_copies(spark, n, percent):
     rng = random.Random(n)
     rows = []
     for base in range(12):
@@ -73,13 +72,83 @@ def test_linked_sets_share_a_part():
                 assert not drop or len(set(kx) & set(ky)) > max(max(kx.values(), default=0), max(ky.values(), default=0)) // 2 or len(set(kx) & set(ky)) > 0
 
 
-def test_block_pairs_find_the_same(spark, monkeypatch):
-    monkeypatch.setattr(ngram_jaccard, "BLOCK_DOCS", 5)
-    rows = [(i, " ".join(f"w{j}" for j in range(100) if j != i)) for i in range(23)]
+def chains(rng, clusters, copies, length):
+    """Clusters of copies, each a few words from one before it, so that many are linked over others only."""
+    out = []
+    for c in range(clusters):
+        texts = [[f"c{c}w{rng.randrange(10**6)}" for _ in range(length)]]
+        while len(texts) < copies:
+            copy = list(rng.choice(texts[-20:]))
+            for _ in range(1 + rng.randrange(1 + length // 30)):
+                copy[rng.randrange(length)] = f"e{rng.randrange(10**6)}"
+            texts.append(copy)
+        out += texts
+    rng.shuffle(out)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("percent,n", [(80, 5), (90, 3), (60, 1)])
+@pytest.mark.parametrize("clusters,copies", [(8, 40), (1, 150), (120, 1)])
+def test_regions_join_recursively(percent, n, clusters, copies):
+    """A task's join in this process: it links to pivots, splits by them, and finds what all pairs do, with fewer comparisons."""
+    rng = random.Random(clusters * percent)
+    texts = chains(rng, clusters, copies, 60)
+    cache = WordHashes()
+    sets = [ngram_jaccard.shingle_set(t.encode(), n, cache) for t in texts]
+    ids = rng.sample(range(10_000), len(texts))
+    pairs, region = ngram_jaccard.join_region(ids, sets, [None] * len(ids), None, percent)
+    label = {x: x for x in ids} | dict(pairs)
+    assert sorted(label.items()) == sorted((d, c) for d, _, c in brute(list(zip(ids, texts, strict=True)), n, percent))
+    if copies == 1:
+        assert region is None
+    else:
+        assert region.compared <= len(ids) * (len(ids) - 1) / 2 + 6 * len(ids) and (clusters == 1 or region.compared < len(ids) ** 2 / 9)
+
+
+def test_voronoi_cells_recur(monkeypatch):
+    """Cells of cells: with small leaves, clusters are told apart by several levels of pivots."""
+    monkeypatch.setattr(ngram_jaccard, "LEAF", 4)
+    rng = random.Random(4)
+    # All share some words, so that no shingle prefilter tells clusters apart, and distances to pivots differ.
+    texts = [" ".join(f"s{k}" for k in range(24)) + " " + t for t in chains(rng, 30, 8, 50)]
+    cache = WordHashes()
+    sets = [ngram_jaccard.shingle_set(t.encode(), 1, cache) for t in texts]
+    region = ngram_jaccard.Region(sets, 85, ngram_jaccard.Groups(len(sets)))
+    region.join(np.arange(len(sets)))
+    want = {d: c for d, _, c in brute(list(enumerate(texts)), 1, 85)}
+    assert [region.groups.find(i) for i in range(len(sets))] == [want[i] for i in range(len(sets))]
+    assert region.splits > 3
+
+
+@pytest.mark.parametrize("docs,rounds", [(5, 4), (5, 1), (30, 2)])
+def test_large_regions_split_and_pair_up(spark, monkeypatch, docs, rounds):
+    """Regions far over the size of a block: rounds of pivots, groups that are done, and pairs of blocks for the rest."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_DOCS", docs)
+    monkeypatch.setattr(ngram_jaccard, "ROUNDS", rounds)
+    rng = random.Random(docs)
+    base = [f"w{j}" for j in range(100)]
+    rows = [(i, " ".join(w for j, w in enumerate(base) if j != i)) for i in range(60)]
+    rows += [(1000 + i, t + " " + " ".join(base[:30])) for i, t in enumerate(chains(rng, 3, 40, 40))]
+    # A doc_id of two texts, each linked to another cluster.
+    rows += [(5000, rows[0][1]), (5000, rows[-1][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert shown(jaccard_components(df, 3, 90)) == brute(rows, 3, 90)
 
 
+def test_pairs_of_blocks_leave_out_blocks_of_one_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_DOCS", 10)
+    members = spark.range(100).selectExpr("7L cell", "id rep", "1L size", "case when id < 60 then 1L when id < 90 then 2L end grp")
+    big = ngram_jaccard.open_cells(members)
+    assert [(r.docs, r.blocks) for r in big.collect()] == [(100, 10)]
+    out = ngram_jaccard.block_pairs(members, big).collect()
+    met = {}
+    for r in out:
+        met.setdefault(r.pair, []).append(r)
+    together = {(min(a.rep, b.rep), max(a.rep, b.rep)) for rs in met.values() for a in rs for b in rs if a.rep != b.rep and (a.block != b.block or len({x.block for x in rs}) == 1)}
+    group = lambda i: 1 if i < 60 else 2 if i < 90 else None
+    assert together == {(a, b) for a in range(100) for b in range(a + 1, 100) if group(a) is None or group(a) != group(b)}
+
+
 def test_hash_cache_is_bounded(monkeypatch):
     monkeypatch.setattr("tessera.llm.shingles.CACHE_WORDS", 10)
     c = WordHashes()
