@@ -444,6 +444,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     linked_ids = BlockedBloom.build(members.select("rep").distinct(), F.xxhash64("rep"))
     texts = linked_ids.possible(docs.where("doc_id is not null").withColumnRenamed("doc_id", "rep"), F.xxhash64("rep"))
     edges = region_edges(members.withColumnRenamed("pivot", "cell"), texts, n, percent)
+    # A doc_id of several texts links the representatives of them all.
+    key = F.struct("s1", "s2")
+    several = materialize(full.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("doc_id"), "several")
+    own = full.select("doc_id", "s1", "s2").join(several, "doc_id", "left_semi").distinct()
+    edges = edges.union(own.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep").where("doc_id <> rep"))
     labels = components(edges)
     classes = classes.join(labels, classes.rep == labels.node, "left").select("s1", "s2", "copies", F.coalesce("component", "rep").alias("component"))
     out = skew_safe_lookup(sets.select("doc_id", "n_shingles", "s1", "s2"), classes, ["s1", "s2"], ["component"], "copies", F.col("doc_id"))
