@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.blocking import candidates  # noqa: F401
+
 
 def keyed(df: DataFrame, id_col: str, passes: dict[str, list[Column]]) -> DataFrame:
     """(id, pass, key) of every pass whose features are all there; within a pass features are combined, passes are alternatives."""
@@ -15,12 +17,6 @@ def keyed(df: DataFrame, id_col: str, passes: dict[str, list[Column]]) -> DataFr
     return df.select(F.col(id_col).alias("id"), F.explode(F.array(*keys)).alias("k")).select("id", "k.*").where("key is not null")
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (left_id, right_id, passes) of keyed rows that meet in any pass, by one equi-join."""
-    met = left.withColumnRenamed("id", "left_id").join(right.withColumnRenamed("id", "right_id"), ["pass", "key"])
-    return met.groupBy("left_id", "right_id").agg(F.array_join(F.sort_array(F.collect_set("pass")), ",").alias("passes"))
-
-
 def pair_census(keys: DataFrame) -> DataFrame:
     """(pass, blocks, largest, pairs) by block sizes, without making a pair."""
     sizes = keys.groupBy("pass", "key").agg(F.countDistinct("id").alias("n"))
@@ -48,6 +44,45 @@ def posterior(odds: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), odds))))
 
 
+def evidence(states: dict[str, Column], weights: dict[str, dict[str, tuple[float, float]]]) -> Column:
+    """array<struct<evidence, state, m, u, llr>>: what each feature adds to the odds, in the order of states; a null state adds nothing."""
+    out = []
+    for feature, state in states.items():
+        value = lambda pick: F.coalesce(*(F.when(state == name, F.lit(float(pick(m, u)))) for name, (m, u) in weights[feature].items()))  # noqa: B023, E731
+        bound = lambda p: min(1 - 1e-9, max(1e-9, p))
+        out.append(F.struct(F.lit(feature).alias("evidence"), state.alias("state"), value(lambda m, u: bound(m)).alias("m"), value(lambda m, u: bound(u)).alias("u"), F.coalesce(value(log_ratio), F.lit(0.0)).alias("llr")))
+    return F.array(*out)
+
+
+def term_frequency(left: Column, right: Column, reference_u: float, weight: float = 1.0, least_u: float = 0.0, mode: str = "symmetric") -> Column:
+    """What the frequencies of an equal term add to the log odds: weight ln(u / max(left, right, least_u)); asymmetric: never above 0; zero: 0.
+    Null frequencies add nothing."""
+    if not (0 < reference_u <= 1 and weight >= 0 and 0 <= least_u <= 1) or mode not in ("zero", "symmetric", "asymmetric"):
+        raise ValueError("frequencies are in (0, 1], weights not negative")
+    if mode == "zero" or weight == 0:
+        return F.lit(0.0)
+    effective = F.greatest(left, right, F.lit(least_u)) if least_u > 0 else F.greatest(left, right)
+    added = F.lit(weight) * F.ln(F.lit(reference_u) / effective)
+    return F.when(left.isNotNull() & right.isNotNull(), F.least(added, F.lit(0.0)) if mode == "asymmetric" else added).otherwise(0.0)
+
+
+def with_frequencies(pairs: DataFrame, frequencies: DataFrame, left: str, right: str, exact: Column, out: str) -> DataFrame:
+    """pairs plus {out}_left and {out}_right: the frequencies (term, frequency) of both sides' first tokens where `exact` holds, else null."""
+    first = lambda c: F.when(exact, F.get(F.split(F.col(c), " "), F.lit(0)))
+    d = pairs.withColumn("_l", first(left)).withColumn("_r", first(right))
+    side = lambda k, s: frequencies.select(F.col("term").alias(k), F.col("frequency").alias(f"{out}_{s}"))
+    return d.join(side("_l", "left"), "_l", "left").join(side("_r", "right"), "_r", "left").drop("_l", "_r")
+
+
+def joint_odds(pairs: DataFrame, cells: DataFrame, person: str = "person_level", mother: str = "mother_level") -> DataFrame:
+    """pairs plus joint_llr: ln(m / u) of the cell (person_level, mother_level, m, u) of both names' levels. Levels are nine, so cells are
+    81 rows at most and are broadcast; a pair without a cell is an error."""
+    bound = lambda c: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col(c)))
+    c = cells.select(F.col("person_level").alias("_p"), F.col("mother_level").alias("_q"), F.ln(bound("m") / bound("u")).alias("joint_llr"))
+    met = pairs.join(F.broadcast(c), (F.col(person) == F.col("_p")) & (F.col(mother) == F.col("_q")), "left").drop("_p", "_q")
+    return met.withColumn("joint_llr", F.coalesce("joint_llr", F.raise_error(F.lit("a pair of levels has no cell")).cast("double")))
+
+
 def ranked(scored: DataFrame, by: str = "left_id", score: str = "odds", tie: str = "right_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie)))
 
@@ -62,6 +97,38 @@ def decisions(rank_rows: DataFrame, universe: DataFrame, threshold: float, margi
     return d.select("left_id", F.col("right_id_1").alias("best"), F.col("right_id_2").alias("second"), F.col("odds_1").alias("best_odds"), gap.alias("gap"), status.alias("status"), reason.alias("reason"))
 
 
+def one_row_each(scored: DataFrame, keys: tuple[str, ...] = ("left_id", "right_id")) -> DataFrame:
+    """scored without repeated rows; rows of a pair that differ are an error."""
+    rest = [c for c in scored.columns if c not in keys]
+    g = scored.groupBy(*keys).agg(F.count_distinct(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})).alias("_n"), *(F.first(c).alias(c) for c in rest))
+    sure = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("a candidate has different rows: "), F.col(keys[1]).cast("string"))).cast("boolean")).otherwise(True)
+    return g.where(sure).select(scored.columns)
+
+
+def resolved(scored: DataFrame, universe: DataFrame, threshold: float, margin: float, unique_core: bool = False, dual: bool = False, conflict_floor: float | None = None, no_candidate: str = "SEM_CANDIDATO_NO_RULESET_BLOCKING") -> DataFrame:
+    """One row for each left_id of universe: status, person, the best two candidates, the margin of their odds and the reason.
+
+    scored: (left_id, right_id, score, odds, exact_core); a repeated pair must be the same. In order: no candidate; best score below the threshold;
+    with unique_core, a best candidate of the very name and birth; with dual, a second candidate at the threshold or at conflict_floor; a margin too
+    small; else resolved.
+    """
+    order = ranked(one_row_each(scored)).where("rank <= 2")
+    top = order.groupBy("left_id").agg(*(F.max(F.when(F.col("rank") == k, F.col(c))).alias(f"{c}_{k}") for k in (1, 2) for c in ("right_id", "score", "odds", "exact_core")))
+    d = universe.select("left_id").join(top, "left_id", "left").withColumn("margin", F.col("odds_1") - F.col("odds_2"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    floor = threshold if conflict_floor is None else conflict_floor
+    cases = [(F.col("right_id_1").isNull(), "NAO_RESOLVIDO", no_candidate), (F.col("score_1") < threshold, "NAO_RESOLVIDO", "ABAIXO_T_LINKAGE")]
+    if unique_core:
+        cases.append((yes(F.col("exact_core_1")), "CONFLITO", "NUCLEO_DEMOGRAFICO_EXATO_NAO_UNICO"))
+    if dual:
+        cases.append((yes(F.col("score_2") >= floor), "CONFLITO", "DOIS_CANDIDATOS_ACIMA_T_LINKAGE" if conflict_floor is None else "SEGUNDO_CANDIDATO_ACIMA_PISO_CONFLITO"))
+    cases.append((yes(F.col("margin") < margin), "CONFLITO", "MARGEM_ENTRE_CANDIDATOS_INSUFICIENTE"))
+    status, reason = F.lit("RESOLVIDO"), F.lit(None).cast("string")
+    for held, s, r in reversed(cases):
+        status, reason = F.when(held, s).otherwise(status), F.when(held, r).otherwise(reason)
+    return d.select("left_id", status.alias("status"), F.when(status == "RESOLVIDO", F.col("right_id_1")).alias("person"), F.col("right_id_1").alias("best"), F.coalesce("score_1", F.lit(0.0)).alias("best_score"), F.col("right_id_2").alias("second"), F.col("score_2").alias("second_score"), "margin", reason.alias("reason"))
+
+
 def open_triads(edges: DataFrame) -> DataFrame:
     """(a, b, c): a-b and b-c are linked and a-c is not, a < c. Edges: (src, dst), src < dst."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("x", "y")

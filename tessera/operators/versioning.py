@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def new_versions(df: DataFrame, key: list[str], order: list[Column], content: list[str]) -> DataFrame:
     """Rows whose content differs from the row before of the same key, with `version` from 1; others are re-deliveries."""
     w = Window.partitionBy(*key).orderBy(*order)
-    hashed = df.withColumn("content_hash", F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in content)), 256))
+    # As JSON, in which neither separators nor nulls can be mistaken for content.
+    hashed = df.withColumn("content_hash", F.sha2(F.to_json(F.array(*(F.col(c).cast("string") for c in content))), 256))
     marked = hashed.withColumn("redelivery", F.coalesce(F.lag("content_hash").over(w) == F.col("content_hash"), F.lit(False)))
     return marked.where("not redelivery").drop("redelivery").withColumn("version", F.row_number().over(w))
 
@@ -35,3 +36,12 @@ def golden(df: DataFrame, key: list[str], fields: list[str], order: list[Column]
         n = F.countDistinct(f)
         cols += [F.max(F.when(F.col(f"_r_{f}") == 1, F.col(f))).alias(f), F.when(n == 0, "ABSENT").when(n == 1, F.when(F.count(f) > 1, "CONFIRMED").otherwise("BASELINE")).otherwise("DIVERGENT").alias(f"{f}_state")]
     return df.groupBy(*key).agg(*cols)
+
+
+def merged_rollup(target: DataFrame, source: DataFrame, key: list[str], sums: list[str], mins: list[str] = (), maxs: list[str] = ()) -> DataFrame:
+    """target with source merged in: keys in both add up, others are inserted. Both have one row a key; keys may be null."""
+    t, s = target.alias("t"), source.alias("s")
+    on = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
+    both = t.join(s, on, "full")
+    zero = lambda c: F.coalesce(F.col(f"t.{c}"), F.lit(0)) + F.coalesce(F.col(f"s.{c}"), F.lit(0))
+    return both.select(*(F.coalesce(f"t.{k}", f"s.{k}").alias(k) for k in key), *(zero(c).alias(c) for c in sums), *(F.least(f"t.{c}", f"s.{c}").alias(c) for c in mins), *(F.greatest(f"t.{c}", f"s.{c}").alias(c) for c in maxs))

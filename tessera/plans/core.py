@@ -22,8 +22,8 @@ SQL = {
         with x as (select o.o_orderkey, o.o_orderpriority, max(datediff(cast(l_shipdate as date), cast(o_orderdate as date))) as took,
             max(case when o_orderpriority like '1%' then 30 when o_orderpriority like '2%' then 60 else 90 end) as allowed
           from {orders} o join {lineitem} l on o.o_orderkey = l.l_orderkey group by o.o_orderkey, o.o_orderpriority)
-        select o_orderpriority, case when took < 0 then 'FUTURE' when took <= allowed then 'ON_TIME' else 'LATE' end as status,
-          case when took <= allowed then 'none' when took - allowed <= 3 then '1-3' when took - allowed <= 7 then '4-7' when took - allowed <= 30 then '8-30' else '31+' end as band, count(*) as orders
+        select o_orderpriority, case when took is null then 'SEM_MARCO' when took < 0 then 'DATA_FUTURA' when took <= allowed then 'NO_PRAZO' else 'EM_ATRASO' end as status,
+          case when took is null then 'SEM_MARCO' when took < 0 then 'DATA_FUTURA' when took <= allowed then 'NO_PRAZO' when took - allowed <= 3 then '1-3_DIAS' when took - allowed <= 7 then '4-7_DIAS' when took - allowed <= 30 then '8-30_DIAS' else '31+_DIAS' end as band, count(*) as orders
         from x group by 1, 2, 3""",
     "lateness_p95": """
         select o_orderpriority, percentile(cast(datediff(cast(l_shipdate as date), cast(o_orderdate as date)) as double), 0.95) as p95, avg(cast(datediff(cast(l_shipdate as date), cast(o_orderdate as date)) as double)) as mean_days
@@ -58,9 +58,6 @@ SQL = {
         select case when age <= 30 then '0-30' when age <= 90 then '31-90' when age <= 180 then '91-180' when age <= 365 then '181-365' else '365+' end as bucket, count(*) as pending, min(age) as youngest, max(age) as oldest from x group by 1""",
     "hourly_throughput": """
         select cast(date_trunc('hour', ts) as string) as hour, event_type, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total from {events} group by 1, 2""",
-    "rollup_merge": """
-        with day as (select cast(ts as date) as d, event_type, count(*) as n, min(event_id) as first_id, max(event_id) as last_id from {events} group by 1, 2), merged as (select d, event_type, n, first_id, last_id from day union all select d, event_type, 0, first_id, last_id from day)
-        select cast(d as string) as d, event_type, sum(n) as n, min(first_id) as first_id, max(last_id) as last_id from merged group by 1, 2""",
     "week_growth": """
         with w as (select cast(date_trunc('week', ts) as date) as week, count(*) as n from {events} group by 1), g as (select week, n, lag(n) over (order by week) as before, lag(week) over (order by week) as week_before from w)
         select cast(week as string) as week, n, case when datediff(week, week_before) = 7 then n - before end as growth from g""",
@@ -75,9 +72,6 @@ SQL = {
         with h as (select user_id, event_id, event_type, ts, lag(event_type) over (partition by user_id order by ts, event_id) as before from {events}),
         v as (select user_id, event_id, event_type, ts, row_number() over (partition by user_id order by ts, event_id) as version, lead(event_id) over (partition by user_id order by ts, event_id) as next_id from h where before is null or before <> event_type)
         select user_id, event_id, event_type, version, next_id, case when next_id is null then 'CURRENT' else 'HISTORIC' end as status from v""",
-    "fact_state_machine": """
-        with o as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as rn, lag(event_type) over (partition by user_id order by ts, event_id) as before from {events})
-        select case when rn = 1 then 'INCLUDED' when before = 'error' then 'REOPENED' when event_type = 'error' then 'EXCLUDED' else 'VERSIONED' end as outcome, count(*) as n, count(distinct user_id) as users from o group by 1""",
     "duplicate_alert": """
         select e.event_id, g.twin from {events} e join (select user_id, event_type, props, min(event_id) as twin from {events} group by user_id, event_type, props) g
         on e.user_id = g.user_id and e.event_type is not distinct from g.event_type and e.props is not distinct from g.props where g.twin < e.event_id""",

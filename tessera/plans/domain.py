@@ -3,56 +3,42 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, identifiers, names
-from tessera.operators import calibration, identity, linkage, measures, rules, samplers, thresholds, versioning
+from tessera.operators import calibration, identity, linkage, measures, samplers, thresholds, versioning
 from tessera.plans.tables import table
 
-_MARKED, _BARE = names._latin_marks()
+#: The classes of white space that the two engines' regular expressions write the same way.
+_SPACE = "[\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
-def normalized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split("text", "\n", -1), 1).alias("line"))
-    return d.select("doc_id", names.normalize_text(F.substring("line", 1, 200)).alias("name"))
+def _upper_sql(c: str) -> str:
+    """The other engine writes ß as ẞ in upper case, and dotless i as I."""
+    return f"replace(replace(upper(replace({c}, 'ı', chr(57344))), 'ẞ', 'ß'), chr(57344), 'ı')"
 
 
-NORMALIZED = f"""select doc_id, nullif(regexp_replace(trim(replace(upper(translate(substr(string_split(text, chr(10))[1], 1, 200), '{_MARKED}', '{_BARE}')), 'ẞ', 'SS')), '\\s+', ' ', 'g'), '') as name from documents"""
+def _collapsed_sql(c: str) -> str:
+    return f"nullif(regexp_replace(regexp_replace({c}, '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g'), '')"
 
 
-def normalized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole first lines, of which normalized_names and its SQL take 200 characters."""
+def normalized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole first line of each document."""
     return table(spark, sf_dir, "documents").select("doc_id", names.normalize_text(F.element_at(F.split("text", "\n", -1), 1)).alias("name"))
 
 
-WHOLE_LINES = f"""select doc_id, nullif(regexp_replace(trim(replace(upper(translate(string_split(text, chr(10))[1], '{_MARKED}', '{_BARE}')), 'ẞ', 'SS')), '\\s+', ' ', 'g'), '') as name from documents"""
-
-
-def name_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = names.normalize_text(F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", names.first_name(n).alias("first"), names.last_surname(n).alias("last"), F.size(names.content_tokens(n)).alias("n_tokens"))
-
-
-COMPONENTS = """select p_partkey, t[1] as first, case when len(t) > 1 then t[len(t)] end as last, cast(len(t) as int) as n_tokens from (select p_partkey, list_filter(string_split(upper(p_name), ' '), lambda x: x not in ('DA','DAS','DE','DO','DOS')) t from part)"""
-
-
-def phonetic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", names.phonetic(F.upper("p_name")).alias("code"))
-
-
-def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact Jaro-Winkler of distinct names in a block; tests hold its values."""
-    p = table(spark, sf_dir, "part").select("p_brand", "p_size", F.upper("p_name").alias("name")).distinct()
-    pairs = p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.name") < F.col("b.name")))
-    pairs = pairs.select(F.col("a.name").alias("x"), F.col("b.name").alias("y")).distinct().withColumn("similarity", F.round(names.jaro_winkler("x", "y"), 8))
-    return pairs.withColumn("class", names.similarity_class(F.col("x"), F.col("y"), F.col("similarity")))
+#: By the other engine's own removal of accents.
+NORMALIZED = f"select doc_id, {_collapsed_sql(_upper_sql('strip_accents(string_split(text, chr(10))[1])'))} as name from documents"
 
 
 def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "orders").select("o_orderkey", F.lpad((F.col("o_orderkey") * 7919 + F.col("o_custkey")).cast("string"), 11, "0").alias("digits"))
-    return k.select("o_orderkey", identifiers.valid_cpf(F.col("digits")).cast("int").alias("cpf"), identifiers.valid_nis(F.col("digits")).cast("int").alias("nis"))
+    key = F.col("o_orderkey") * 7919 + F.col("o_custkey")
+    card = F.concat(F.get(F.array(*map(F.lit, "12789")), (F.col("o_orderkey") % 5).cast("int")), F.lpad((key % 10_000_000_000).cast("string"), 10, "0"), F.get(F.array(F.lit("0000"), F.lit("0007"), F.lit("0018"), F.lit("0001")), (F.col("o_custkey") % 4).cast("int")))
+    k = table(spark, sf_dir, "orders").select("o_orderkey", F.lpad(key.cast("string"), 11, "0").alias("digits"), card.alias("card"))
+    return k.select("o_orderkey", identifiers.valid_cpf(F.col("digits")).cast("int").alias("cpf"), identifiers.valid_nis(F.col("digits")).cast("int").alias("nis"), identifiers.valid_cns(F.col("card")).cast("int").alias("cns"))
 
 
 def _sum_sql(weights: list[int]) -> str:
@@ -60,15 +46,18 @@ def _sum_sql(weights: list[int]) -> str:
 
 
 _DIGIT = lambda w: f"(case when ({_sum_sql(w)}) % 11 < 2 then 0 else 11 - ({_sum_sql(w)}) % 11 end)"
+_CARD = " + ".join(f"{15 - i} * cast(substr(card, {i + 1}, 1) as int)" for i in range(15))
+_BASE = " + ".join(f"{15 - i} * cast(substr(card, {i + 1}, 1) as int)" for i in range(11))
 CHECK_DIGITS = f"""select o_orderkey, case when length(d) = 11 and d <> repeat(substr(d, 1, 1), 11) and {_DIGIT([*range(10, 1, -1)])} = cast(substr(d, 10, 1) as int) and {_DIGIT([*range(11, 1, -1)])} = cast(substr(d, 11, 1) as int) then 1 else 0 end as cpf,
-  case when length(d) = 11 and {_DIGIT([3, 2, 9, 8, 7, 6, 5, 4, 3, 2])} = cast(substr(d, 11, 1) as int) then 1 else 0 end as nis
-from (select o_orderkey, lpad(cast(o_orderkey * 7919 + o_custkey as varchar), 11, '0') d from orders)"""
+  case when length(d) = 11 and {_DIGIT([3, 2, 9, 8, 7, 6, 5, 4, 3, 2])} = cast(substr(d, 11, 1) as int) then 1 else 0 end as nis,
+  case when substr(card, 1, 1) in ('7', '8', '9') then cast(({_CARD}) % 11 = 0 as int) else cast(substr(card, 12, 4) = case ({_BASE}) % 11 when 0 then '0000' when 1 then '001' || (11 - ({_BASE} + 2) % 11) else '000' || (11 - ({_BASE}) % 11) end as int) end as cns
+from (select o_orderkey, lpad(cast(o_orderkey * 7919 + o_custkey as varchar), 11, '0') d, ['1', '2', '7', '8', '9'][cast(o_orderkey % 5 as int) + 1] || lpad(cast((o_orderkey * 7919 + o_custkey) % 10000000000 as varchar), 10, '0') || ['0000', '0007', '0018', '0001'][cast(o_custkey % 4 as int) + 1] card from orders)"""
 
 
 def birth_evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     a, b = F.to_date("o_orderdate"), F.to_date("l_shipdate")
-    return d.groupBy(dates.birth_evidence(a, b).alias("evidence"), dates.joint_mask(a, b).alias("mask")).agg(F.count("*").alias("n"))
+    return dates.birth_evidence_counts(d.select(a.alias("a"), b.alias("b")), "a", "b")
 
 
 _A, _B = "cast(o_orderdate as date)", "cast(l_shipdate as date)"
@@ -95,10 +84,9 @@ PRIOR, THRESHOLD, MARGIN = 0.001, -2.0, 0.5
 
 
 def _linkage_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Odd part keys are observations and even ones persons: a stand-in for two sources."""
-    p = table(spark, sf_dir, "part")
-    left, right = p.where("p_partkey % 2 = 1"), p.where("p_partkey % 2 = 0")
-    met = linkage.candidates(linkage.keyed(left, "p_partkey", _passes()), linkage.keyed(right, "p_partkey", _passes()))
+    """All parts against all others: observations against what came before them."""
+    left = right = table(spark, sf_dir, "part")
+    met = linkage.candidates(linkage.keyed(left, "p_partkey", _passes()), linkage.keyed(right, "p_partkey", _passes())).where("right_id < left_id")
     side = lambda d, s: d.select(F.col("p_partkey").alias(f"{s}_id"), *(F.col(f"p_{c}").alias(f"{s}_{c}") for c in WEIGHTS))
     rows = met.join(side(left, "left"), "left_id").join(side(right, "right"), "right_id")
     states = {c: F.when(F.col(f"left_{c}") == F.col(f"right_{c}"), "SAME").otherwise("OTHER") for c in WEIGHTS}
@@ -122,13 +110,13 @@ def _weight_sql(c: str) -> str:
 
 
 LINKED = "with k as (" + " union all ".join(f"select p_partkey id, '{n}' pass, {e} key from part" for n, e in PASSES_SQL.items()) + f"""),
-c as (select a.id left_id, b.id right_id, string_agg(distinct a.pass, ',' order by a.pass) passes from k a join k b on a.pass = b.pass and a.key = b.key and a.id % 2 = 1 and b.id % 2 = 0 group by 1, 2),
+c as (select a.id left_id, b.id right_id, string_agg(distinct a.pass, ',' order by a.pass) passes from k a join k b on a.pass = b.pass and a.key = b.key and b.id < a.id group by 1, 2),
 s as (select left_id, right_id, passes, round({math.log(PRIOR / (1 - PRIOR))!r}::double + {" + ".join(map(_weight_sql, WEIGHTS))}, 8) odds from c join part l on l.p_partkey = left_id join part r on r.p_partkey = right_id)"""
 SCORES = LINKED + " select passes, round(odds, 6) odds, count(*) n, max(round(1 / (1 + exp(-odds)), 8)) posterior from s group by 1, 2"
 DECISIONS = LINKED + f""", q as (select *, row_number() over (partition by left_id order by odds desc, right_id) rank from s),
 t as (select left_id, max(case when rank = 1 then right_id end) best, max(case when rank = 2 then right_id end) as second, max(case when rank = 1 then odds end) o1, max(case when rank = 2 then odds end) o2 from q group by 1)
 select p_partkey left_id, best, t.second, case when o1 is null or o1 < {THRESHOLD} then 'UNRESOLVED' when o1 - o2 < {MARGIN} then 'CONFLICT' else 'RESOLVED' end status,
-  case when o1 is null then 'NO_CANDIDATE' when o1 < {THRESHOLD} then 'BELOW_THRESHOLD' when o1 - o2 < {MARGIN} then 'MARGIN' end reason from part left join t on p_partkey = left_id where p_partkey % 2 = 1"""
+  case when o1 is null then 'NO_CANDIDATE' when o1 < {THRESHOLD} then 'BELOW_THRESHOLD' when o1 - o2 < {MARGIN} then 'MARGIN' end reason  from part left join t on p_partkey = left_id"""
 
 
 def split_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,14 +136,6 @@ RATES = """with d as (select quality q, lang from documents join labels using (d
 select state, round((coalesce((select sum(q) from d where lang = state), 0) + 1.0::double) / (t1 + 5.0::double), 8) m, round((coalesce((select sum(1 - q) from d where lang = state), 0) + 1.0::double) / (t0 + 5.0::double), 8) u from s, t"""
 
 
-def compiled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = rules.evaluate([("c_acctbal", "AT_LEAST", 0.0), ("c_name", "PRESENT", None)], [("c_mktsegment", "IN", ["BUILDING", "MACHINERY"]), ("c_nationkey", "AT_MOST", 5)])
-    return table(spark, sf_dir, "customer").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
-
-
-RULES_SQL = "select case when c_acctbal is null then 'NOT_EVALUABLE' when c_acctbal < 0 then 'NOT_COMPATIBLE' when c_name is null then 'NOT_COMPATIBLE' when c_mktsegment in ('BUILDING','MACHINERY') or c_nationkey <= 5 then 'COMPATIBLE' else 'NOT_COMPATIBLE' end verdict, count(*) n from customer group by 1"
-
-
 def folded_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     v = versioning.intervals(versioning.new_versions(e, ["user_id"], [F.col("ts"), F.col("event_id")], ["event_type", "value"]), ["user_id"], "event_id")
@@ -247,13 +227,17 @@ AGREE = {"priority": "o_orderpriority < '3'", "status": "o_orderstatus = 'F'", "
 
 
 def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single conjunctions and unions of two, as the operator searches by itself."""
     pairs = table(spark, sf_dir, "orders").select(*(F.expr(e).alias(n) for n, e in AGREE.items()), (F.col("o_custkey") % 3 == 0).alias("truth"))
-    found = thresholds.rule_search(pairs, list(AGREE), "truth", fields=2, passes=1)
-    return spark.createDataFrame([("+".join(r["rule"][0]), float(r["recall"]), int(r["kept"])) for r in found], "rule string, recall double, kept long").select("rule", F.round("recall", 8).alias("recall"), "kept")
+    found = thresholds.rule_search(pairs, list(AGREE), "truth")
+    rule = lambda r: " or ".join(sorted("+".join(c) for c in r["rule"]))
+    return spark.createDataFrame([(rule(r), float(r["recall"]), int(r["kept"])) for r in found], "rule string, recall double, kept long").select("rule", F.round("recall", 8).alias("recall"), "kept")
 
 
-_SINGLE = [(n, AGREE[n]) for n in AGREE] + [(f"{a}+{b}", f"{AGREE[a]} and {AGREE[b]}") for i, a in enumerate(AGREE) for b in list(AGREE)[i + 1 :]]
-SEARCHED = " union all ".join(f"select '{n}' as rule, round(count(*) filter (where {e} and o_custkey % 3 = 0) / (count(*) filter (where o_custkey % 3 = 0))::double, 8) recall, count(*) filter (where {e}) kept from orders" for n, e in _SINGLE)
+_SETS = [c for k in (1, 2, 3) for c in combinations(list(AGREE), k)]
+_RULES = [(c,) for c in _SETS] + [(a, b) for a, b in combinations(_SETS, 2) if not set(a) <= set(b) and not set(b) <= set(a)]
+_HELD = lambda rule: "(" + " or ".join("(" + " and ".join(f"({AGREE[f]})" for f in c) + ")" for c in rule) + ")"
+SEARCHED = " union all ".join(f"select '{' or '.join(sorted('+'.join(c) for c in rule))}' as rule, round(count(*) filter (where {_HELD(rule)} and o_custkey % 3 = 0) / (count(*) filter (where o_custkey % 3 = 0))::double, 8) recall, count(*) filter (where {_HELD(rule)}) kept from orders" for rule in _RULES)
 
 
 def lateness_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,9 +255,9 @@ select o_orderpriority, count(*) "Registros Monitorados", nullif(count(*) filter
 _QUERIES = {
     "deterministic_routes": (deterministic_routes, ROUTES), "publications": (publications, PUBLISHED), "threshold_grid": (threshold_grid, GRID), "matched_sample": (matched_sample, MATCHED), "unmatched_sample": (unmatched_sample, UNMATCHED),
     "rule_search": (rule_search, SEARCHED), "lateness_measures": (lateness_measures, LATENESS),
-    "normalized_names": (normalized_names, NORMALIZED), "normalized_lines": (normalized_lines, WHOLE_LINES), "name_components": (name_components, COMPONENTS), "phonetic_codes": (phonetic_codes, None), "name_similarity": (name_similarity, None),
+    "normalized_names": (normalized_names, NORMALIZED),
     "check_digits": (check_digits, CHECK_DIGITS), "birth_evidence": (birth_evidence_states, BIRTH), "blocking_census": (blocking_census, CENSUS), "linkage_scores": (linkage_scores, SCORES),
-    "linkage_decisions": (linkage_decisions, DECISIONS), "split_buckets": (split_buckets, SPLIT), "m_u_rates": (m_u_rates, RATES), "compiled_rules": (compiled_rules, RULES_SQL),
+    "linkage_decisions": (linkage_decisions, DECISIONS), "split_buckets": (split_buckets, SPLIT), "m_u_rates": (m_u_rates, RATES),
     "folded_versions": (folded_versions, FOLDED), "link_quality": (link_quality, QUALITY), "contact_forms": (contact_forms, CONTACT),
 }
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FIRST, AGAIN, LAST = "INCLUSAO", ("ALTERACAO", "RETIFICACAO"), "EXCLUSAO"
@@ -17,7 +18,7 @@ def step(state: tuple | None, operation: str, content: str) -> tuple[str, tuple
     """(result, new state) of an operation; state: (version, content, last operation), None before the first.
 
     The same content and operation as the last is a retransmission. A fact starts with an inclusion, which also reopens it
-    after an exclusion; other orders are rejected and change nothing.
+    after an exclusion; a change must change the content; other orders are rejected and change nothing.
     """
     if state and (content, operation) == state[1:]:
         return "RETRANSMITIDO", state
@@ -26,7 +27,7 @@ def step(state: tuple | None, operation: str, content: str) -> tuple[str, tuple
         return "INCLUIDO", (n, content, operation)
     if operation == FIRST and state[2] == LAST:
         return "REABERTO", (n, content, operation)
-    if state and state[2] != LAST and operation in AGAIN:
+    if state and state[2] != LAST and operation in AGAIN and content != state[1]:
         return "VERSIONADO", (n, content, operation)
     if state and state[2] != LAST and operation == LAST:
         return "EXCLUIDO", (n, content, operation)
@@ -52,3 +53,20 @@ def folded(stream: DataFrame) -> DataFrame:
     Operations of a fact must come in order over micro-batches; within one they are sorted by seq.
     """
     return stream.select("fact", "seq", "operation", "content").groupBy("fact").applyInPandasWithState(_fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def folded_batch(operations: DataFrame) -> DataFrame:
+    """The same of a table. Facts are dealt by hash and read in order of (fact, seq); a task holds the state of one fact and a batch of rows."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fact, state = None, None
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                if r.fact != fact:
+                    fact, state = r.fact, None
+                result, state = step(state, r.operation, r.content)
+                out.append((r.fact, r.seq, r.operation, result, state[0] if state else 0))
+            yield pd.DataFrame(out, columns=["fact", "seq", "operation", "result", "version"])
+
+    return operations.select(F.col("fact").cast("string").alias("fact"), F.col("seq").cast("long").alias("seq"), "operation", "content").where("fact is not null").repartition("fact").sortWithinPartitions("fact", "seq").mapInPandas(fold, OUT)
