@@ -12,13 +12,13 @@ inequality gives the windows in which boundary documents are replicated, and reg
    are replicated. Sizes have regions too: d <= t bounds the ratio of sizes, and a set near the upper end of its size
    region is replicated to the next.
 3. A region over BLOCK_DOCS documents or BLOCK_SHINGLES shingles is split by metric pivots of its own, in rounds: PIVOTS of its members, those
-   not linked yet first, a cell for each and one for what is far from all of them, and x in cell j when d(x, p_j) <= d(x, nearest) + 2 t
+   not linked yet first and of them the most central (those whose parts most others share, as a near copies' original has them), a cell for each and one for what is far from all of them, and x in cell j when d(x, p_j) <= d(x, nearest) + 2 t
    and it is not much farther from p_j than what lives there (voronoi()), so no link is lost. Members within t of
    a pivot are linked to it, and pivots that share such a member are one group; a cell of one group is done, which is
-   how a group of near copies of any size costs a few distances a member and no pairs. What is still large after ROUNDS rounds is joined by pairs
-   of blocks, but for blocks of the same group. The members of a cell are dealt to tasks by salts in each round.
-4. In a task, members without a rare shingle in common with any other are set aside, and others are joined recursively: pivots
-   far from one another, links to them, such cells, until a cell is of one group, or has LEAF members, or its cells have hardly
+   how a group of near copies of any size costs a few distances a member and no pairs. What is still large after ROUNDS rounds, or makes no more progress, is joined by pairs
+   of blocks, but for blocks of one large group. The members of a cell are dealt to tasks by salts in each round.
+4. In a task, members without a rare shingle in common with any other are set aside, and others are joined recursively: the most
+   central pivot and others far from one another, links to them, such cells, until a cell is of one group, or has LEAF members, or its cells have hardly
    fewer pairs; then its members are compared one by one with those of other groups.
    Tasks return a spanning star of each group that they find, never its pairs.
 5. Links between representatives become components by rounds of smallest labels.
@@ -48,7 +48,7 @@ RATIO = 1.5
 #: More than the size regions that a set can be in.
 REGIONS = 64
 #: Most documents and shingles of a block of a region.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 3_000_000
 #: Recursion in a task ends at so many documents; pivots of a step, in tasks and between them; rounds of splitting large regions.
 LEAF, PIVOTS, ROUNDS = 16, 6, 4
 
@@ -207,7 +207,9 @@ class Region:
             return
         subset = self.subset(members)
         if len(members) > LEAF:
-            nearest, rows, pivot = np.full(len(members), np.inf), [], 0
+            # The first pivot is the one with the most common shingles: near copies link to their original.
+            shared = np.bincount(subset[0], minlength=1)[subset[0]]
+            nearest, rows, pivot = np.full(len(members), np.inf), [], int((np.add.reduceat(shared, subset[1]) / self.size[members]).argmax())
             while len(rows) < PIVOTS and (not rows or nearest.max() > 0):
                 common = self.common(int(members[pivot]), subset)
                 for i in members[self.linked(common, int(members[pivot]), members)]:
@@ -299,11 +301,11 @@ def region_links(n: int, percent: int):
 
 
 def pivot_rows(n: int, percent: int):
-    """Members (part -1) and pivots (part from 0) of a cell -> (cell, rep, size, grp, stars, linked, near) of members.
+    """Members (part -1) and pivots (part from 0) of a cell -> (cell, rep, size, central, grp, stars, linked, near) of members.
 
     stars: pivots within t; linked, near: masks of the pivots within t, and of those whose cell the member is in.
     """
-    schema = pa.schema([("cell", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("grp", pa.int64()), ("stars", pa.list_(pa.int64())), ("linked", pa.int32()), ("near", pa.int32())])
+    schema = pa.schema([("cell", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("central", pa.float64()), ("grp", pa.int64()), ("stars", pa.list_(pa.int64())), ("linked", pa.int32()), ("near", pa.int32())])
 
     def rows(table: pa.Table) -> pa.Table:
         part, reps = np.array(table.column("part").to_pylist()), table.column("rep").to_pylist()
@@ -328,7 +330,7 @@ def pivot_rows(n: int, percent: int):
                 for m in masks:
                     m[j] |= m[k]
         kept = list(first.values())
-        rows = table.select(["cell", "rep", "size", "grp"]).take(pa.array(members[kept]))
+        rows = table.select(["cell", "rep", "size", "central", "grp"]).take(pa.array(members[kept]))
         return pa.Table.from_arrays([*(c.combine_chunks() for c in rows.columns), pa.array([sorted(stars[k]) for k in kept], pa.list_(pa.int64())), *(pa.array(m[kept]) for m in masks)], schema=schema)
 
     return rows
@@ -350,47 +352,51 @@ def merged_groups(table: pa.Table) -> pa.Table:
 
 
 def open_cells(members: DataFrame) -> DataFrame:
-    """(cell, docs, blocks) of cells (cell, rep, size, grp) with something left to compare."""
+    """(cell, docs, known, blocks) of cells (cell, rep, size, grp) with something left to compare."""
     g = members.groupBy("cell").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"), F.count("grp").alias("known"), F.min("grp").alias("a"), F.max("grp").alias("b"))
     g = g.where("docs > 1 and (known < docs or a <> b)")
-    return g.select("cell", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return g.select("cell", "docs", "known", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
 
 
 def split_round(members: DataFrame, big: DataFrame, texts: DataFrame, n: int, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """(members in new cells, edges to pivots) of the cells in big."""
     hot = materialize(skew_safe_lookup(members, big, ["cell"], ["blocks"], "docs", F.col("rep")).where("blocks is not null"), "hot")
     h = F.xxhash64("rep", F.lit(turn))
-    first = F.min(F.struct(F.col("grp").isNotNull().alias("known"), h.alias("h"), "rep", "blocks")).alias("p")
+    first = F.min(F.struct(F.col("grp").isNotNull().alias("known"), (-F.col("central")).alias("far"), h.alias("h"), "rep", "blocks")).alias("p")
     pivots = hot.groupBy("cell", F.pmod(h, F.lit(PIVOTS)).cast("int").alias("part")).agg(first).select("cell", "part", "p.rep", "p.blocks")
-    plain = hot.join(texts, "rep").select("cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("salt"), "rep", "size", "grp", F.lit(-1).alias("part"), "text")
-    spread = pivots.join(texts, "rep").select("cell", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), "rep", F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("grp"), "part", "text")
-    schema = "cell long, rep long, size long, grp long, stars array<long>, linked int, near int"
+    plain = hot.join(texts, "rep").select("cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("salt"), "rep", "size", "central", "grp", F.lit(-1).alias("part"), "text")
+    spread = pivots.join(texts, "rep").select("cell", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), "rep", F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("central"), F.lit(None).cast("long").alias("grp"), "part", "text")
+    schema = "cell long, rep long, size long, central double, grp long, stars array<long>, linked int, near int"
     near = materialize(plain.union(spread).groupBy("cell", "salt").applyInArrow(pivot_rows(n, percent), schema), "near")
     edges = near.select(F.col("rep").alias("src"), F.explode("stars").alias("dst")).where("src <> dst")
     states = near.groupBy("cell", "grp", "linked").agg(F.count("*").alias("n"))
     merged = states.select("cell", "grp", "linked").groupBy("cell").applyInArrow(merged_groups, "cell long, grp long, linked int, merged long")
-    # A cell splits when its parts have fewer pairs and are not many times its size; else it goes on whole, with other pivots.
+    # What pairs of blocks would read. A cell splits when its parts read far less than it would; else it goes on whole, with other pivots.
     counts = near.groupBy("cell").agg(F.count("*").alias("docs"), *(F.sum(F.shiftright("near", k).bitwiseAND(1)).cast("double").alias(f"n{k}") for k in range(PIVOTS + 1)))
     parts = [F.col(f"n{k}") for k in range(PIVOTS + 1)]
-    splits = (sum((x * x for x in parts), F.lit(0.0)) <= 0.75 * F.col("docs") * F.col("docs")) & (sum(parts, F.lit(0.0)) <= 2 * F.col("docs"))
+    reads = lambda n: n * F.ceil(n / BLOCK_DOCS)
+    splits = sum(map(reads, parts), F.lit(0.0)) <= 0.6 * reads(F.col("docs"))
     plan = materialize(counts.select("cell", "docs", splits.alias("splits")).join(merged.groupBy("cell").agg(F.collect_list(F.struct("grp", "linked", "merged")).alias("states")), "cell"), "plan")
     told = skew_safe_lookup(near, plan, ["cell"], ["splits", "states"], "docs", F.col("rep"))
     state = F.get(F.filter("states", lambda x: x.grp.eqNullSafe(F.col("grp")) & (x.linked == F.col("linked"))), F.lit(0))
     whole = F.array(F.xxhash64("cell", F.lit(turn), F.lit(-1)))
     cells = F.when(F.col("splits"), F.array_compact(F.array(*(F.when(F.shiftright("near", k).bitwiseAND(1) == 1, F.xxhash64("cell", F.lit(turn), F.lit(k))) for k in range(PIVOTS + 1))))).otherwise(whole)
-    return told.select(F.explode_outer(cells).alias("cell"), "rep", "size", state.merged.alias("grp")), edges
+    return told.select(F.explode_outer(cells).alias("cell"), "rep", "size", "central", state.merged.alias("grp")), edges
 
 
 def block_pairs(members: DataFrame, big: DataFrame) -> DataFrame:
-    """(cell, pair, block, rep, grp): the members of large cells in pairs of blocks; blocks are of one group each, and those of the same group don't meet."""
-    hot = skew_safe_lookup(members, big, ["cell"], ["blocks"], "docs", F.col("rep")).where("blocks is not null").withColumn("g", F.coalesce("grp", F.lit(0)))
-    sizes = hot.groupBy("cell", "g", "grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("of"), F.count("*").alias("docs"))
+    """(cell, pair, block, rep, grp): the members of large cells in pairs of blocks. A group of over BLOCK_DOCS members has blocks of its own, which don't
+    meet one another; all other members share blocks, so small groups make no more of them."""
+    hot = skew_safe_lookup(members, big, ["cell"], ["blocks"], "docs", F.col("rep")).where("blocks is not null")
+    large = hot.where("grp is not null").groupBy("cell", "grp").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK_DOCS).withColumn("_large", F.lit(True))
+    hot = skew_safe_lookup(hot, large, ["cell", "grp"], ["_large"], "_n", F.col("rep")).withColumn("g", F.when(F.col("_large"), F.col("grp")).otherwise(0)).drop("_large")
+    sizes = hot.groupBy("cell", "g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("of"), F.count("*").alias("docs"))
     sizes = materialize(sizes, "blocks")
-    block = sizes.select("cell", "grp", "g", F.explode_outer(F.sequence(F.lit(0), F.col("of") - 1)).alias("b"))
-    side = lambda s: block.select("cell", *(F.col(c).alias(f"{s}_{c}") for c in ("grp", "g", "b")))
+    block = sizes.select("cell", "g", F.explode_outer(F.sequence(F.lit(0), F.col("of") - 1)).alias("b"))
+    side = lambda s: block.select("cell", *(F.col(c).alias(f"{s}_{c}") for c in ("g", "b")))
     order = F.struct("x_g", "x_b") <= F.struct("y_g", "y_b")
     # A pair of blocks, not of members: a cell has as many blocks as it has members by BLOCK_DOCS.
-    pairs = side("x").join(side("y"), "cell").where(order & ~F.coalesce(F.col("x_grp") == F.col("y_grp"), F.lit(False)))
+    pairs = side("x").join(side("y"), "cell").where(order & ((F.col("x_g") != F.col("y_g")) | (F.col("x_g") == 0)))
     ends = pairs.select("cell", F.xxhash64("x_g", "x_b", "y_g", "y_b").alias("pair"), F.array_distinct(F.array(F.struct(F.col("x_g").alias("g"), F.col("x_b").alias("b")), F.struct(F.col("y_g").alias("g"), F.col("y_b").alias("b")))).alias("ends"))
     ends = ends.select("cell", "pair", F.explode_outer("ends").alias("e")).select("cell", "pair", "e.g", "e.b")
     dealt = skew_safe_lookup(hot, sizes, ["cell", "g"], ["of"], "docs", F.col("rep")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
@@ -398,23 +404,25 @@ def block_pairs(members: DataFrame, big: DataFrame) -> DataFrame:
 
 
 def region_edges(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (src, dst) between the members (cell, rep, size) of all regions, which have the components of their links."""
+    """Edges (src, dst) between the members (cell, rep, size, central) of all regions, which have the components of their links."""
     members = members.withColumn("grp", F.lit(None).cast("long"))
-    edges, small = [], []
-    for turn in range(ROUNDS):
+    edges, small, left = [], [], math.inf
+    for turn in range(ROUNDS + 1):
         cells = materialize(open_cells(members), "cells")
-        small.append(skew_safe_lookup(members, cells.where("blocks = 1"), ["cell"], ["blocks"], "docs", F.col("rep")).where("blocks is not null").select("cell", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("long").alias("block"), "rep", "grp"))
+        one = skew_safe_lookup(members, cells.where("blocks = 1"), ["cell"], ["blocks"], "docs", F.col("rep")).where("blocks is not null")
+        small.append(one.select("cell", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("long").alias("block"), "rep", "grp"))
         big = cells.where("blocks > 1")
-        if big.isEmpty():
+        unknown = big.agg(F.sum(F.col("docs") - F.col("known"))).first()[0]
+        if unknown is None:
             break
+        # Without much progress, as where all are as far from one another, more pivots would not help.
+        if turn == ROUNDS or unknown > 0.9 * left:
+            small.append(block_pairs(members, big))
+            break
+        left = unknown
         members, to_pivots = split_round(members, big, texts, n, percent, turn)
         members = materialize(members, "members")
         edges.append(to_pivots)
-    else:
-        cells = materialize(open_cells(members), "cells")
-        small.append(skew_safe_lookup(members, cells.where("blocks = 1"), ["cell"], ["blocks"], "docs", F.col("rep")).where("blocks is not null").select("cell", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("long").alias("block"), "rep", "grp"))
-        if not cells.where("blocks > 1").isEmpty():
-            small.append(block_pairs(members, cells.where("blocks > 1")))
     placed = reduce(DataFrame.union, small)
     edges.append(placed.join(texts, "rep").select("cell", "pair", "block", "rep", "grp", "text").groupBy("cell", "pair").applyInArrow(region_links(n, percent), "src long, dst long"))
     return reduce(DataFrame.union, edges)
@@ -438,9 +446,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     cells = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("rep")).alias("pivot")).where("n > 1"), "cells")
     bloom = BlockedBloom.build(cells.select("key"), F.xxhash64("key"))
     met = skew_safe_lookup(bloom.possible(keyed, F.xxhash64("key")), cells, ["key"], ["pivot", "n"], "n", F.col("rep")).where("pivot is not null")
+    # How many share its parts with a set, over all parts: the original of many near copies, if it is there, has the most.
+    met = met.withColumn("central", F.sum("n").over(Window.partitionBy("rep")).cast("double"))
     crowded = F.row_number().over(Window.partitionBy("rep", "code").orderBy(F.desc("n"), "key"))
-    pairs = met.withColumn("crowded", crowded).where("crowded > code div " + str(REGIONS)).select("pivot", "rep").distinct()
-    members = materialize(pairs.join(reps, "rep").select("pivot", "rep", "size"), "members")
+    pairs = met.withColumn("crowded", crowded).where("crowded > code div " + str(REGIONS)).select("pivot", "rep", "central").distinct()
+    members = materialize(pairs.join(reps, "rep").select("pivot", "rep", "size", "central"), "members")
     linked_ids = BlockedBloom.build(members.select("rep").distinct(), F.xxhash64("rep"))
     texts = linked_ids.possible(docs.where("doc_id is not null").withColumnRenamed("doc_id", "rep"), F.xxhash64("rep"))
     edges = region_edges(members.withColumnRenamed("pivot", "cell"), texts, n, percent)

@@ -7,8 +7,8 @@ all features with numpy and adds.
 It is fitted on TRAIN_ROWS labelled rows at most (those of the smallest hashes; only training rows), so what reaches the driver
 is bounded; every row of the table is scored, its whole text read. Nothing but the text goes into a score.
 
-Null and empty texts have the features of an empty text and get a score. Null labels are left out of training; labels of a
-doc_id that repeat are rows of their own. Repeated documents are scored each. Without both classes in training, the score is the
+Null and empty texts have the features of an empty text and get a score. Null labels are left out of training; equal
+labels and rows that repeat a doc_id count once there. Repeated documents are scored each. Without both classes in training, the score is the
 rate of the class that is there, or 0.5. Empty tables give empty tables.
 """
 
@@ -165,15 +165,17 @@ def held_out(doc_id: str | Column) -> Column:
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [features(t).tolist() for t in b.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AdditiveModel:
-    """Fit on at most `rows` labelled rows (doc_id, quality) that are not held out."""
-    some = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col("quality").cast("double").alias("label"))
+    """Fit on at most `rows` labelled rows (doc_id, quality) that are not held out. Rows that repeat a doc_id or a label count once, so
+    no more than that reaches the driver; contradictory labels of a document count one each."""
+    some = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col("quality").cast("double").alias("label")).distinct()
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("label", "text")
-    got = sorted((r.label, tuple(r.x)) for r in met.mapInArrow(feature_rows, "label double, x array<double>").collect())  # `rows` rows at most
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+    once = met.mapInArrow(feature_rows, "doc_id long, label double, x array<double>").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
+    got = sorted((r.label, tuple(r.x)) for r in once.collect())  # `rows` rows at most
     return AdditiveModel().fit(np.array([x for _, x in got]).reshape(len(got), len(NAMES)), np.array([y for y, _ in got]))
 
 

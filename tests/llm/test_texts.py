@@ -91,6 +91,35 @@ def test_quality_scores_tell_junk(spark):
     assert {r.doc_id for r in quality_rules.judge(df, trusted, max(score[i] for i in range(0, 200, 5)) + 1e-9).where("not kept").collect()} == set(range(0, 200, 5))
 
 
+def test_quality_scores_by_brute_force(spark):
+    """score and kept of whole texts, with hashes, counts and ratios in plain Python."""
+    xxhash = pytest.importorskip("xxhash")
+    rng = random.Random(12)
+    texts = {i: " ".join(rng.choice(["river", "stone", "ünï", "Wide", "#x", "field,"]) + str(rng.randrange(30)) for _ in range(rng.choice([0, 1, 2, 9, 40, 120]))) for i in range(120)}
+    trusted = [i for i in texts if i % 3 == 0]
+    word = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    bucket = lambda h: h & (quality_rules.BUCKETS - 1)
+    eight = lambda h: h.to_bytes(8, "little")
+
+    def grams(text):
+        hs = [word(w) for w in WORD.findall(text)]
+        return [bucket(h) for h in hs] + [bucket(xxhash.xxh64_intdigest(eight(b), xxhash.xxh64_intdigest(eight(a), 42))) for a, b in zip(hs, hs[1:], strict=False)]
+
+    raw, target = [0] * quality_rules.BUCKETS, [0] * quality_rules.BUCKETS
+    for i, t in texts.items():
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i % 3 == 0
+    part = lambda x: [(v + quality_rules.SMOOTHING * sum(x) / len(x)) / (sum(x) * (1 + quality_rules.SMOOTHING)) for v in x]
+    ratio = [max(-quality_rules.BOUND, min(quality_rules.BOUND, math.log(t / r))) for t, r in zip(part(target), part(raw), strict=True)]
+    out = quality_rules.judge(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(i,) for i in trusted], "doc_id long"))
+    for r in out.collect():
+        g = grams(texts[r.doc_id])
+        want = sum(ratio[x] for x in g) / len(g) if g else 0.0
+        assert r.score == pytest.approx(want, abs=2e-6)
+        assert r.kept == (not r.base_failed and r.score >= quality_rules.THRESHOLD)
+
+
 @pytest.mark.parametrize("blocks", [1 << 18, 1])
 def test_quality_target_is_all_trusted_documents(spark, monkeypatch, blocks):
     """Over 20,000 trusted documents count, each with a word of its own, whatever the Bloom filters let through."""
@@ -171,6 +200,20 @@ def test_classifier(spark, edges, nothing):
     assert quality_classifier.fit(nothing, labels.where("false")).score(quality_classifier.np.zeros((1, 22)))[0] == pytest.approx(0.5)
 
 
+def test_classifier_with_odd_labels(spark, edges):
+    """Repeated, contradictory and null labels, labels of no document, one class alone, and columns with the model's own names."""
+    rng = random.Random(8)
+    rows = [(i, (" | ".join if i % 3 == 0 else " ".join)(rng.choice(["stone", "river", "Wide"]) for _ in range(30)), 0.5, True) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out boolean")
+    labels = [(i, int(i % 3 != 0), 0) for i in range(200)] * 2 + [(5, 0, 0), (6, None, 0), (None, 1, 0), (99_999, 1, 0)]
+    model = quality_classifier.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = quality_classifier.score_documents(docs, model).collect()
+    assert len(out) == 200 and all(0 <= r.score <= 1 for r in out)
+    assert sum(r.predicted == int(r.doc_id % 3 != 0) for r in out) > 180
+    alone = quality_classifier.fit(docs, spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int"))
+    assert all(r.score > 0.5 for r in quality_classifier.score_documents(docs, alone).collect())
+
+
 def test_licenses(spark, edges, nothing):
     """Denied, other and mentioned licences are not confirmed; statements may run over lines; paragraphs end at blank lines."""
     warranty = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
@@ -305,6 +348,24 @@ def test_pipeline_decodes(spark, edges):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_pipeline_stages_on_edges(spark, edges, nothing, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, through each stage but the last."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(6, 1, 0), (7, 1, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = edges.withColumn("source", F.lit("s")).withColumn("n_chars", F.char_length("text")).withColumn("n_lines", F.lit(1)).withColumn("score", F.lit("x")).withColumn("component_id", F.lit(0))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    count = {name: stage(spark, docs, str(tmp_path)).count() for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert 0 < count["quality rules"] < docs.count() and count["line dedup"] == docs.count()
+    # One of the equal documents stays, and what can't be compared stays.
+    kept = sorted(str(r.doc_id) for r in corpus_pipeline.jaccard_dedup(spark, docs, str(tmp_path)).select("doc_id").collect())
+    assert kept == sorted(["None", "1", "2", "3", "4", "6", "8", "9", "10", "11"])
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).select("doc_id").collect()) == sorted(str(r.doc_id) for r in docs.collect() if r.text != "one two")
+
+
 def test_pipeline_against_brute_force(spark):
     """From the documents that the quality rules keep on, every stage by brute force."""
     import corpus_pipeline
