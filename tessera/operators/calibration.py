@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,13 @@ def b_cubed(df: DataFrame, cluster: str, truth: str) -> DataFrame:
     j = joint.join(c, cluster).join(t, truth)
     n = F.col("n").cast("double")
     return j.agg((F.sum(n * n / F.col("nc")) / F.sum(n)).alias("precision"), (F.sum(n * n / F.col("nt")) / F.sum(n)).alias("recall"))
+
+
+def checked_ratios(levels: DataFrame, by: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """levels (*by, place, m, u) as they are; reading one whose log ratio is above that of the place before it, by more than tolerance, is an error."""
+    w = Window.partitionBy(*by).orderBy("place")
+    llr = F.ln(F.col("m") / F.col("u"))
+    rises = F.coalesce(llr > F.lag(llr).over(w) + tolerance, F.lit(False))
+    d = levels.withColumn("_rises", rises)
+    sure = F.when(F.col("_rises"), F.raise_error(F.concat(F.lit("the log ratio rises at place "), F.col("place").cast("string"))).cast("boolean")).otherwise(True)
+    return d.where(sure).drop("_rises")

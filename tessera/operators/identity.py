@@ -51,3 +51,49 @@ def publication(status: Column, target_established: Column, n_candidates: Column
     fresh = yes(search_complete) & (F.coalesce(n_candidates, F.lit(-1)) == 0) & yes(has_origin) & former_target.isNull()
     resolved = yes(status == "RESOLVIDO")
     return F.when(yes(protected), "INDEFINIDA").when(yes(referenced) | (resolved & yes(target_established)), "ASSOCIACAO_EXISTENTE").when(~resolved & fresh, "NOVA_IDENTIDADE").otherwise("INDEFINIDA")
+
+
+#: Fixed value: successors that are followed at most.
+MOST_SUCCESSORS = 31
+
+
+def canonical_ids(persons: DataFrame) -> DataFrame:
+    """(id, canonical) of persons (id, successor): the end of the chain of successors, or null where it is longer than MOST_SUCCESSORS or a ring.
+
+    Steps are composed by doubling, five joins for 31 successors, whatever the chains; a successor that is no person ends its chain.
+    """
+    step = persons.select("id", F.coalesce("successor", "id").alias("to"))
+    out = persons.select("id", F.col("id").alias("at"))
+    power = MOST_SUCCESSORS
+    while power:
+        hop = step.select(F.col("id").alias("at"), F.col("to"))
+        if power & 1:
+            out = out.join(hop, "at", "left").select("id", F.coalesce("to", "at").alias("at"))
+        power >>= 1
+        if power:
+            step = step.select("id", F.col("to").alias("at")).join(hop, "at", "left").select("id", F.coalesce("to", "at").alias("to"))
+    ends = persons.select(F.col("id").alias("at"), F.col("successor").isNotNull().alias("goes_on"))
+    return out.join(ends, "at", "left").select("id", F.when(~F.coalesce("goes_on", F.lit(False)), F.col("at")).alias("canonical"))
+
+
+#: An attribute that no manager but its own ever sees.
+SEALED = ("ATRIBUTO_PESSOA", "ENDERECO_CASA_ABRIGO_SIGILOSA")
+
+
+def permitted(asked: DataFrame, restrictions: DataFrame, now: Column) -> DataFrame:
+    """asked (owner, consumer, kind, code) plus `permitted`. Without owner, consumer or kind nothing is; a sealed attribute is for its owner alone; else all is that no
+    active restriction (owner, consumer, kind, code, status, starts, ends) forbids. A restriction's null consumer or code stands for all.
+
+    Each of the four ways in which a restriction may be general is an equi-join of its own, so no restriction is compared with every row.
+    """
+    live = restrictions.where((F.col("status") == "ATIVA") & (F.col("starts") <= now) & (F.col("ends").isNull() | (F.col("ends") > now)))
+    d = asked.withColumn("_row", F.struct("owner", "consumer", "kind", "code"))
+    barred = F.lit(False)
+    for i, (by_code, by_consumer) in enumerate(((True, True), (True, False), (False, True), (False, False))):
+        keys = ["owner", "kind", *(["code"] if by_code else []), *(["consumer"] if by_consumer else [])]
+        same = (F.col("code").isNotNull() if by_code else F.col("code").isNull()) & (F.col("consumer").isNotNull() if by_consumer else F.col("consumer").isNull())
+        d = d.join(live.where(same).select(*keys).distinct().withColumn(f"_b{i}", F.lit(True)), keys, "left")
+        barred = barred | F.coalesce(f"_b{i}", F.lit(False))
+    known = F.col("owner").isNotNull() & F.col("consumer").isNotNull() & F.col("kind").isNotNull()
+    sealed = F.coalesce((F.col("kind") == SEALED[0]) & (F.col("code") == SEALED[1]) & (F.col("owner") != F.col("consumer")), F.lit(False))
+    return d.select(*asked.columns, (known & ~sealed & ~barred).alias("permitted"))

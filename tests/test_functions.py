@@ -1,6 +1,7 @@
 """Scalar functions and operators on small fixtures."""
 
 import datetime
+import hashlib
 import math
 import os
 import random
@@ -8,8 +9,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, identifiers, names
-from tessera.operators import blocking, calibration, linkage, rules, versioning
+from tessera.functions import dates, hashing, identifiers, names
+from tessera.operators import blocking, calibration, identity, linkage, rules, versioning
 
 
 def one(spark, value, f, kind="string"):
@@ -220,3 +221,38 @@ def test_statistics():
     assert calibration.non_increasing([4, 1, 3], [1, 1, 1]) == [4, 2, 2]
     assert calibration.binomial_upper(0, 10, 0.05) == pytest.approx(1 - 0.05 ** 0.1, abs=1e-9)
     assert calibration.binomial_upper(10, 10, 0.05) == 1.0
+
+
+def test_canonical_json(spark):
+    same = ['{"b": 600, "a": "e\u0301", "n": null}', '{"a":"\u00e9","b":6e2}', '{"a":"\u00e9", "b":600.00}']
+    other = ['{"a":"\u00e9","b":601}', '{"a":"\u00e9","b":"600"}', '{"a":"\u00e9"}', "[600]", None, "{"]
+    got = {r.x: r.h for r in spark.createDataFrame([(x,) for x in same + other], "x string").select("x", hashing.canonical_json_hash()("x").alias("h")).collect()}
+    assert len({got[x] for x in same}) == 1 and len({got[x] for x in other[:4]} | {got[same[0]]}) == 5 and got[None] is None and got["{"] is None
+    assert got[same[0]] == hashlib.sha256('{"a":"\u00e9","b":600}'.encode()).hexdigest()
+    show = hashing.canonical_json
+    person = {"root": hashing.PERSON_ROOT, "anywhere": hashing.PERSON_ANYWHERE, "sets": hashing.PERSON_SETS}
+    assert show('{"codigoPessoaOrigem":1,"x":{"codigoPessoaOrigem":1,"atualizadoEmOrigem":2},"valores":["b","a"],"l":["b","a"]}', **person) == '{"l":["b","a"],"valores":["a","b"],"x":{"codigoPessoaOrigem":1}}'
+    assert show("[-0.0, 0.10, 1E+3, 123456789012345678, true, null]") == "[0,0.1,1000,123456789012345678,true,null]"
+
+
+def test_pseudonyms(spark):
+    import hmac
+
+    for key in (b"k", b"x" * 100):
+        got = one(spark, "52998224725", lambda c, key=key: hashing.pseudonym(c, key))
+        assert got == hmac.new(key, b"52998224725", "sha256").hexdigest()
+    assert one(spark, None, lambda c: hashing.pseudonym(c, b"k")) is None
+    assert one(spark, "Zé", hashing.sha256_utf16) == hashlib.sha256("Zé".encode("utf-16-le")).hexdigest()
+
+
+def test_successors(spark):
+    rows = [(i, i + 1) for i in range(31)] + [(31, None)] + [(100 + i, 101 + i) for i in range(32)] + [(132, None), (200, 201), (201, 200), (300, 999), (301, None)]
+    got = {r.id: r.canonical for r in identity.canonical_ids(spark.createDataFrame(rows, "id long, successor long")).collect()}
+    assert got[0] == 31 and got[31] == 31 and got[100] is None and got[101] == 132 and got[200] is None and got[300] == 999 and got[301] == 301
+
+
+def test_rising_ratios_are_found(spark):
+    d = spark.createDataFrame([("n", 1, 0.9, 0.1), ("n", 2, 0.2, 0.1), ("n", 3, 0.1, 0.2), ("o", 1, 0.1, 0.2)], "f string, place int, m double, u double")
+    assert calibration.checked_ratios(d, ["f"]).count() == 4
+    with pytest.raises(Exception, match="rises at place 3"):
+        calibration.checked_ratios(d.union(spark.createDataFrame([("p", 1, 0.1, 0.2), ("p", 3, 0.2, 0.2)], d.schema)), ["f"]).collect()
