@@ -51,3 +51,26 @@ def level_counts(rows: DataFrame, id_col: str, block: list[str], features: list[
         return s.select("feature", "state", F.explode(F.array(apart, alike)).alias("k")).groupBy("feature", "state", "k.added").agg(F.sum("k.n").alias("n"))
 
     return without_repeats(whole, id_col, counts, block).groupBy("feature", "state", "added").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def pattern_counts(rows: DataFrame, id_col: str, keys: dict[str, Column], passes: list[str]) -> DataFrame:
+    """(*keys boolean, n): pairs by which of the keys they share, of all pairs that share one of `passes` (names of keys). A null key is shared with none.
+
+    Pairs that share at least a set of keys come from the sizes of groups, those that share just that set by inclusion and exclusion.
+    """
+    names = list(keys)
+    sets = [s for k in range(1, len(names) + 1) for s in combinations(names, k) if set(s) & set(passes)]
+    place = {s: i for i, s in enumerate(sets)}
+    whole = rows.select(F.col(id_col).alias("_id"), *(k.cast("string").alias(n) for n, k in keys.items()))
+
+    def counts(d: DataFrame, by: list[str]) -> DataFrame:
+        some = d.groupBy(*by, *names).agg(F.count("*").alias("w"))
+        entry = lambda s: F.when(F.expr(" and ".join(f"`{n}` is not null" for n in s)), F.struct(F.lit(place[s]).alias("_set"), F.array(*(F.col(n) for n in s)).alias("_key")))
+        each = some.select(*by, "w", F.inline(F.filter(F.array(*map(entry, sets)), lambda k: k.isNotNull())))
+        return each.groupBy(*by, "_set", "_key").agg(F.sum("w").alias("c")).groupBy("_set").agg(F.sum(pairs_of("c")).alias("n"))
+
+    found = without_repeats(whole, "_id", counts, []).groupBy("_set").agg(F.sum("n").alias("n"))
+    share = {s: [(place[t], (-1) ** (len(s) - len(t))) for t in sets if set(t) <= set(s)] for s in sets}
+    signs = F.array(*(F.array(*(F.struct(F.lit(t).alias("_at"), F.lit(sign).alias("_sign")) for t, sign in share[s])) for s in sets))
+    exact = found.select("n", F.inline(F.get(signs, F.col("_set")))).groupBy("_at").agg(F.sum(F.col("n") * F.col("_sign")).alias("n")).where("n > 0")
+    return exact.select(*(F.col("_at").isin([place[s] for s in sets if n in s]).alias(n) for n in names), "n")

@@ -27,3 +27,14 @@ def test_level_counts(spark):
                 want[f, None if None in (x[at], y[at]) else "SAME" if x[at] == y[at] else "OTHER", adds[x[2]] if x[2] == y[2] else 0.0] += 1
     got = pair_counts.level_counts(d, "id", ["block"], ["first", "mother", "birth"], "first", "added").collect()
     assert {(r.feature, r.state, r.added): r.n for r in got} == want
+
+
+def test_pattern_counts(spark):
+    rows, d = drawn(spark, 60, 2)
+    want = Counter()
+    for x, y in itertools.combinations(rows, 2):
+        alike = tuple(a is not None and a == b for a, b in zip(x[1:], y[1:], strict=True))
+        if None not in (x[0], y[0]) and x[0] != y[0] and (alike[0] or alike[1]):
+            want[alike] += 1
+    got = pair_counts.pattern_counts(d, "id", {c: d[c] for c in d.columns[1:]}, ["block", "first"]).collect()
+    assert {tuple(r[:4]): r.n for r in got} == want
