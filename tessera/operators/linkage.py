@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,6 +89,62 @@ def ranked(scored: DataFrame, by: str = "left_id", score: str = "odds", tie: str
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie)))
 
 
+def best_two(rows: DataFrame, id_col: str, blocks: dict[str, tuple[Column, list[str]]], features: list[str], score: Callable[[dict[str, str | None]], Column], missing: str | None = None) -> DataFrame:
+    """(left_id, right_id, odds, rank): the best two candidates of each id among the smaller ids that share the key of a block, by odds, then id; pairs are not made.
+
+    blocks: name -> (key, the features that may differ where the key is the same); a null key is shared with none. A feature's state is SAME, OTHER,
+    or `missing` where a side is null. score gives the odds of states as a column of the left row; OTHER must not score above another state.
+    Rows of one id must be the same.
+
+    Candidates that are at least as good as a combination of states are a group, whose smallest ids are its best: of a group a row needs the two
+    smallest ids alone, and a candidate's true odds are the most that any of its groups says. A block is sorted in one task, with spilling.
+    """
+    varied = sorted({f for _, fs in blocks.values() for f in fs})
+    assert set(varied) <= set(features)
+    entry = [F.when(key.isNotNull(), F.struct(F.lit(i).alias("_block"), key.cast("string").alias("_key"))) for i, (key, _) in enumerate(blocks.values())]
+    data = [c for c in rows.columns if c != id_col]
+    base = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("left_id"), *data, F.explode(F.filter(F.array(*entry), lambda k: k.isNotNull())).alias("_b")).select("left_id", *data, "_b.*")
+    # A number, since small tasks would be joined by the bytes of rows that are about to be multiplied.
+    base = base.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_block", "_key").dropDuplicates(["_block", "_key", "left_id"])
+    # Digits of a group's code, by feature: 0 any state, 1 the same value, 2 a missing one.
+    options = []
+    for i, (_, fs) in enumerate(blocks.values()):
+        for levels in product((0, 1) if missing == "OTHER" else (0, 1, 2), repeat=len(fs)):
+            at = dict(zip(fs, levels, strict=True))
+            there = {f: F.col(f).isNotNull() for f in fs}
+            member = [there[f] if v == 1 else ~there[f] for f, v in at.items() if v]
+            # A left row with a value asks for all three; one without gets the same state from any candidate.
+            asking = [there[f] for f, v in at.items() if v]
+            held = lambda cs: reduce(Column.__and__, cs, F.col("_block") == i)
+            odds = lambda f_at: score({f: "SAME" if f not in fs else ("OTHER", "SAME", missing)[f_at[f]] for f in features})  # noqa: B023, E731
+            worth = odds(at)
+            if missing != "OTHER":
+                for blank in product((False, True), repeat=len(fs)):
+                    gone = [f for f, b in zip(fs, blank, strict=True) if b]
+                    if gone and not any(at[f] for f in gone):
+                        states = {f: missing if f in gone else "SAME" if f not in fs else ("OTHER", "SAME", missing)[at[f]] for f in features}
+                        worth = F.when(reduce(Column.__and__, (~there[f] for f in gone)) & reduce(Column.__and__, (there[f] for f in fs if f not in gone), F.lit(True)), score(states)).otherwise(worth)
+            code = sum(v * 3**k for k, v in enumerate(at.values()))
+            values = [F.when(F.lit(at.get(f) == 1), F.col(f).cast("string")).alias(f"_v_{f}") for f in varied]
+            options.append(F.when(held(member) | held(asking), F.struct(F.lit(code).alias("_code"), *values, held(member).alias("_in"), F.when(held(asking), worth).alias("_odds"))))
+    each = base.select("left_id", "_block", "_key", F.inline(F.filter(F.array(*options), lambda k: k.isNotNull())))
+    before = Window.partitionBy("_block", "_key", "_code", *(f"_v_{f}" for f in varied)).orderBy("left_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col("_in"), F.col("left_id"))
+    found = each.withColumn("_one", F.first(seen, ignorenulls=True).over(before)).withColumn("_two", F.nth_value(seen, 2, ignoreNulls=True).over(before)).where("_odds is not null and _one is not null")
+    worse = (F.lit(0.0) - F.col("_odds")).alias("worse")
+    pairs = F.array(F.struct(worse, F.col("_one").alias("right_id")), F.struct(worse, F.col("_two").alias("right_id")))
+    top = found.groupBy("_block", "_key", "left_id").agg(_two_of(F.flatten(F.collect_list(pairs))).alias("top"))
+    top = top.groupBy("left_id").agg(_two_of(F.flatten(F.collect_list("top"))).alias("top"))
+    return top.select("left_id", F.posexplode("top").alias("rank", "k")).select("left_id", "k.right_id", (F.lit(0.0) - F.col("k.worse")).alias("odds"), (F.col("rank") + 1).alias("rank"))
+
+
+def _two_of(found: Column) -> Column:
+    """The first two right_ids of array<struct<worse, right_id>>, by worse, then right_id."""
+    order = F.array_sort(F.filter(found, lambda k: k.right_id.isNotNull()))
+    first = F.slice(order, 1, 1)
+    return F.concat(first, F.slice(F.filter(order, lambda k: k.right_id != F.get(first, F.lit(0)).right_id), 1, 1))
+
+
 def decisions(rank_rows: DataFrame, universe: DataFrame, threshold: float, margin: float) -> DataFrame:
     """One row for each left_id of universe: the best two candidates and RESOLVED, UNRESOLVED or CONFLICT with a reason."""
     top = rank_rows.where("rank <= 2").groupBy("left_id").agg(*(F.max(F.when(F.col("rank") == k, F.col(c))).alias(f"{c}_{k}") for k in (1, 2) for c in ("right_id", "odds")))

@@ -4,7 +4,9 @@ import itertools
 import random
 from collections import Counter
 
-from tessera.operators import pair_counts
+from pyspark.sql import functions as F
+
+from tessera.operators import linkage, pair_counts
 
 
 def drawn(spark, n, seed, ids=None):
@@ -38,3 +40,22 @@ def test_pattern_counts(spark):
             want[alike] += 1
     got = pair_counts.pattern_counts(d, "id", {c: d[c] for c in d.columns[1:]}, ["block", "first"]).collect()
     assert {tuple(r[:4]): r.n for r in got} == want
+
+
+def test_best_two(spark):
+    """Two blocks, missing values that say nothing or count as other, a repeated row and a null id; a score with a part of the left row's own."""
+    rows, d = drawn(spark, 70, 3)
+    worth = {"first": {"SAME": 3.0, "OTHER": -1.0, None: 0.0}, "mother": {"SAME": 1.0, "OTHER": -2.0, None: 0.0}}
+    for missing in (None, "OTHER"):
+        score = lambda s: F.lit(sum(worth[f][v] for f, v in s.items())) + (F.when(F.col("birth") == "1", 0.5).otherwise(0.0) if s["first"] == "SAME" else 0.0)
+        blocks = {"b": (F.col("block"), ["first", "mother"]), "t": (F.col("first"), ["mother"])}
+        want = {}
+        for x in rows:
+            found = set()
+            for y in rows:
+                if None not in (x[0], y[0]) and y[0] < x[0] and (x[1] is not None and x[1] == y[1] or x[2] is not None and x[2] == y[2]):
+                    state = lambda i: missing if None in (x[i], y[i]) else "SAME" if x[i] == y[i] else "OTHER"  # noqa: B023, E731
+                    found.add((-worth["first"][state(2)] - worth["mother"][state(3)] - (0.5 if x[4] == "1" and state(2) == "SAME" else 0.0), y[0]))
+            want |= {(x[0], k + 1): (r, -o) for k, (o, r) in enumerate(sorted(found)[:2])}
+        got = linkage.best_two(d, "id", blocks, ["first", "mother"], score, missing).collect()
+        assert len(got) == len(want) > 80 and {(r.left_id, r["rank"]): (r.right_id, r.odds) for r in got} == want
