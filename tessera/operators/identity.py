@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.identifiers import digits_of, valid_cpf
 from tessera.functions.names import jaro_winkler, normalize_text, similarity_class
+from tessera.operators.pair_counts import pairs_of, without_repeats
 
 #: Why a document may be missing.
 ADMITTED = ["SEM_CPF", "EM_REGULARIZACAO", "NAO_INFORMADO_ORIGEM"]
@@ -31,6 +32,30 @@ def shared_document_conflicts(pairs: DataFrame, left: tuple[str, str], right: tu
     return d.withColumn("conflict", F.coalesce((F.col(left[1]) != F.col(right[1])) & low, F.lit(False))).drop("_x", "_y", "_s")
 
 
+def shared_document_counts(holders: DataFrame, id_col: str, by: str, name: str, birth: str) -> DataFrame:
+    """(by, conflict, n): pairs of different holders of one document (by), judged as shared_document_conflicts does, without making a pair of holders.
+
+    Only pairs of distinct names are compared; holders with equal names never conflict. Of holders whose names conflict those with equal births are taken off.
+    """
+    d = holders.select(F.col(id_col).alias("_id"), by, normalize_text(F.col(name)).alias("_n"), F.col(birth).alias("_b")).where(F.col(by).isNotNull())
+    named = d.where("_n is not null and _b is not null")
+    met = lambda s: named.select(by, F.col("_n").alias(s)).distinct()
+    pairs = met("_x").join(met("_y"), by).where("_x < _y").select("_x", "_y").distinct()
+    low = pairs.where(similarity_class(F.col("_x"), F.col("_y"), jaro_winkler("_x", "_y")) == "LOW")
+
+    def counts(g: DataFrame, keys: list[str]) -> DataFrame:
+        every = g.groupBy(*keys).agg(F.count("*").alias("c")).select(by, F.lit(False).alias("conflict"), pairs_of("c").alias("n"))
+        out = every
+        for each, sign in ((keys, 1), ([*keys, "_b"], -1)):
+            sizes = g.where("_n is not null and _b is not null").groupBy(*each, "_n").agg(F.count("*").alias("c"))
+            side = lambda n, c: sizes.withColumnRenamed("_n", n).withColumnRenamed("c", c)  # noqa: B023, E731
+            apart = side("_x", "_c").join(low, "_x").join(side("_y", "_d"), [*each, "_y"]).select(by, (F.col("_c") * F.col("_d") * sign).alias("n"))
+            out = out.unionByName(apart.select(by, F.explode(F.array(F.struct(F.lit(True).alias("conflict"), "n"), F.struct(F.lit(False).alias("conflict"), (-F.col("n")).alias("n")))).alias("k")).select(by, "k.*"))
+        return out.groupBy(by, "conflict").agg(F.sum("n").alias("n"))
+
+    return without_repeats(d, "_id", counts, [by]).groupBy(by, "conflict").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def promoted(observations: DataFrame, key: list[str], proven: Column, order: list[Column]) -> DataFrame:
     """The best proven observation of each (person, attribute, instance); order holds every tie-break."""
     return observations.where(proven).withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_place = 1").drop("_place")

@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.operators import linkage, pair_counts
+from tessera.operators import identity, linkage, pair_counts
 
 
 def drawn(spark, n, seed, ids=None):
@@ -59,3 +59,14 @@ def test_best_two(spark):
             want |= {(x[0], k + 1): (r, -o) for k, (o, r) in enumerate(sorted(found)[:2])}
         got = linkage.best_two(d, "id", blocks, ["first", "mother"], score, missing).collect()
         assert len(got) == len(want) > 80 and {(r.left_id, r["rank"]): (r.right_id, r.odds) for r in got} == want
+
+
+def test_shared_document_counts(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["s", "t", None]), rnd.choice(["Ana Souza", "ana  souza", "ANA SOUSA", "Bruno Lima", "Zélia", None]), rnd.choice(["2000-01-01", "1990-05-05", None])) for i in range(60)]
+    rows += [(7, "s", "Bruno Lima", "1990-05-05"), (7, "s", "Ana", "2000-01-01"), (None, "s", "Ana", "2000-01-01")]
+    d = spark.createDataFrame(rows, "id long, size string, n string, b string")
+    pairs = d.toDF("x_id", "size", "x_n", "x_b").join(d.toDF("y_id", "size", "y_n", "y_b"), "size").where("x_id < y_id")
+    want = Counter((r["size"], r.conflict) for r in identity.shared_document_conflicts(pairs, ("x_n", "x_b"), ("y_n", "y_b")).collect())
+    assert len(want) == 4
+    assert {(r["size"], r.conflict): r.n for r in identity.shared_document_counts(d, "id", "size", "n", "b").collect()} == want
