@@ -9,7 +9,8 @@ words of an Arrow batch are inserted in order, which is a depth-first walk: a st
 The file is that of the tokenizers library: NFC and lower-case normalisation, a split into words, byte-level symbols, an
 end-of-word suffix and no decoder, so that decoding joins tokens by spaces. Special tokens in a text are found before
 normalisation. Words never span white space, so the cache holds chunks between white space; it is bounded, and so is
-a batch. No shuffle is needed, and a task that is lost can be run again.
+a batch. No shuffle is needed, and a task that is lost can be run again. Spark gives each Arrow step of a task a Python worker,
+and each keeps what it has learnt: round_trip() encodes and decodes in one step, so a task has one worker and not two.
 
 Null and empty texts have no tokens and decode to "". All rows stay, repeated ones too; other columns stay as they are.
 """
@@ -224,3 +225,19 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([encoder.decode(x) for x in b.column("ids").to_pylist()], pa.string())], [*names, "decoded"])
 
     return encoded.mapInArrow(decoded, schema)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """decode_documents(encode_documents(docs)) in one step: docs with n_tokens, ids and decoded in place of text."""
+    small_batches(docs.sparkSession)
+    schema = _extended(docs, "text", StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType()))
+    names = [f.name for f in schema.fields[:-3]]
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path)
+        for b in batches:
+            ids = encoder.encode_batch(b.column("text").to_pylist())
+            made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], [*names, "n_tokens", "ids", "decoded"])
+
+    return docs.mapInArrow(both, schema)

@@ -14,6 +14,10 @@ HOT_KEYS = 512
 #: Rows in an Arrow batch sent to Python, so that a batch of very long texts stays small.
 BATCH_ROWS = 512
 
+#: Hadoop's local file system starts a chmod for a task's folder, for its file and for the checksum file, and a process just forked counts as a
+#: second copy of its executor. Scratch tables in a local folder do without the checksum file, the third of the three; other stores don't read these options.
+LOCAL_WRITES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -34,7 +38,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**LOCAL_WRITES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -60,10 +60,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from tessera.llm.bpe import decode_documents, encode_documents
+    from tessera.llm.bpe import round_trip
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    out = decode_documents(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    out = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -55,6 +55,19 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     assert scratch_dir(Session({"spark.master": "spark://host:7077", "spark.checkpoint.dir": "s3://b/x/"})) == "s3://b/x"
 
 
+def test_scratch_tables_have_no_checksum_files(spark, edges):
+    """The local file system forks a chmod for each of them."""
+    import os
+
+    from tessera.llm.common import materialize
+
+    df = edges.repartition(3, "doc_id")
+    kept = materialize(df, "plain")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.collect())) and kept.schema == df.schema
+    names = [x for f in kept.inputFiles() for x in os.listdir(os.path.dirname(f.removeprefix("file://")))]
+    assert "_SUCCESS" in names and not [x for x in names if x.endswith(".crc")]
+
+
 def counted(text):
     w = WORD.findall(text)
     wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
@@ -162,6 +175,18 @@ def test_bpe_like_the_library(edges, nothing, spark):
     assert encode_documents(nothing, path).count() == 0
 
 
+def test_bpe_takes_one_python_worker_a_task(edges, nothing, spark):
+    import corpus_pipeline
+    from tessera.llm.bpe import decode_documents, encode_documents, round_trip
+
+    path = tokenizer_file("word_bpe_49k.json")
+    two, one = decode_documents(encode_documents(edges, path), path), round_trip(edges, path)
+    assert one.schema == two.schema and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert round_trip(nothing, path).count() == 0
+    stage = corpus_pipeline.STAGES[-1][1](spark, edges.withColumn("source", F.lit("web")), "")
+    assert [x._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for x in (two, one, stage)] == [2, 1, 1]
+
+
 def test_token_histogram(edges, nothing):
     import tiktoken
 
